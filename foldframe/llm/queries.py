@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldframe.llm.common import table
 from foldframe.llm.decontaminate import op4_benchmark_decontamination
+from foldframe.llm.quality import op6_quality_classifier
 from foldframe.llm.sentencepieces import op8_sentencepiece
+from foldframe.llm.sharding import op10_sharding
 from foldframe.llm.simhash import op3_simhash_near_dedup
+from foldframe.llm.toxicity import op7_toxicity
+from foldframe.llm.warc import op9_warc
 
 SENTENCEPIECE_MODEL = "piece_bpe_32k.model"
 
@@ -23,14 +27,34 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_benchmark_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_classifier(table(spark, sf_dir, "documents"))
+
+
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_sentencepiece(table(spark, sf_dir, "documents"), public_tokenizers.path(SENTENCEPIECE_MODEL))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_warc(table(spark, sf_dir, "pages"))
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_sharding(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": _op3,
     "op4_benchmark_decontamination": _op4,
+    "op6_quality_classifier": _op6,
+    "op7_toxicity": _op7,
     "op8_sentencepiece": _op8,
+    "op9_warc": _op9,
+    "op10_sharding": _op10,
 }
 
 #: Words of a text: ASCII letters, folded, digits, and whatever is beyond ASCII.
@@ -56,4 +80,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hw USING (rn) LEFT JOIN items USING (rn)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": _OP4_SQL}
+#: A hex digest in base 32: five hex digits are four letters.
+_FIVE = " + ".join(f"(instr('0123456789abcdef', h[k + {i}]) - 1) * {16 ** (4 - i)}" for i in range(5))
+_FOUR = " || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v // {32 ** (3 - i)} % 32 + 1]" for i in range(4))
+
+_OP9_SQL = f"""
+WITH p AS (SELECT row_number() OVER () AS rn, page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+fives AS (SELECT rn, k, {_FIVE} AS v FROM (SELECT rn, h, unnest([1, 6, 11, 16, 21, 26, 31, 36]) AS k FROM p)),
+digests AS (SELECT rn, string_agg({_FOUR}, '' ORDER BY k) AS payload_digest FROM fives GROUP BY rn),
+firsts AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id > first OR page_id IS NULL AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first OR page_id IS NULL THEN first END AS refers_to
+FROM p JOIN digests USING (rn) JOIN firsts USING (html)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": _OP4_SQL, "op9_warc": _OP9_SQL}
