@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldframe.llm.common import table
 from foldframe.llm.decontaminate import op4_benchmark_decontamination
+from foldframe.llm.edits import op1_edit_fingerprints
+from foldframe.llm.licenses import op5_license_scan
+from foldframe.llm.licenses import oracle as license_oracle
 from foldframe.llm.quality import op6_quality_classifier
 from foldframe.llm.sentencepieces import op8_sentencepiece
 from foldframe.llm.sharding import op10_sharding
@@ -19,6 +22,10 @@ from foldframe.llm.warc import op9_warc
 SENTENCEPIECE_MODEL = "piece_bpe_32k.model"
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,10 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_benchmark_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_license_scan(table(spark, sf_dir, "documents"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_quality_classifier(table(spark, sf_dir, "documents"))
 
@@ -48,8 +59,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_edit_fingerprints": _op1,
     "op3_simhash_near_dedup": _op3,
     "op4_benchmark_decontamination": _op4,
+    "op5_license_scan": _op5,
     "op6_quality_classifier": _op6,
     "op7_toxicity": _op7,
     "op8_sentencepiece": _op8,
@@ -95,4 +108,4 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, pay
 FROM p JOIN digests USING (rn) JOIN firsts USING (html)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": _OP4_SQL, "op9_warc": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": _OP4_SQL, "op5_license_scan": license_oracle(), "op9_warc": _OP9_SQL}
