@@ -86,8 +86,11 @@ def _shared(grams: Column, template: Counter[str]) -> Column:
     """Size of the intersection of the two multisets."""
     held = F.filter(grams, lambda g: g.isin(*template))
     once = F.size(F.array_intersect(held, F.array(*[F.lit(g) for g in template])))
+    def times(gram: str) -> Column:
+        return F.size(F.filter(held, lambda x: x == gram))
+
     # What stands several times in the template can be shared as often.
-    more = [F.least(F.size(F.filter(held, lambda x, g=g: x == g)), F.lit(k)) - F.least(F.size(F.filter(held, lambda x, g=g: x == g)), F.lit(1)) for g, k in template.items() if k > 1]
+    more = [F.greatest(F.least(times(g), F.lit(k)) - 1, F.lit(0)) for g, k in template.items() if k > 1]
     return reduce(lambda a, b: a + b, more, once)
 
 
