@@ -7,16 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldframe.llm.common import shared_dir, stable, table
 from foldframe.llm.decontaminate import decontaminated
+from foldframe.llm.quality import kept as good
 from foldframe.llm.sentencepieces import encode
 from foldframe.llm.simhash import near_duplicates
+from foldframe.llm.toxicity import accepted
 
 SENTENCEPIECE_MODEL = "piece_bpe_32k.model"
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return good(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest doc_id."""
+    """One document of each near-duplicate group stays: that of the smallest doc_id, once. Rows without an id can't be told apart and stay."""
     kept = near_duplicates(docs).select("component_id").distinct().withColumnRenamed("component_id", "doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    own = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return own.unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +43,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("quality classifier", quality),
     ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("SentencePiece encoding and decoding", sentencepiece),

@@ -12,6 +12,7 @@ from foldframe.llm.decontaminate import op4_benchmark_decontamination
 from foldframe.llm.edits import op1_edit_fingerprints
 from foldframe.llm.licenses import op5_license_scan
 from foldframe.llm.licenses import oracle as license_oracle
+from foldframe.llm.pseudolikelihood import op2_lm_scoring
 from foldframe.llm.quality import op6_quality_classifier
 from foldframe.llm.sentencepieces import op8_sentencepiece
 from foldframe.llm.sharding import op10_sharding
@@ -26,6 +27,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_lm_scoring(table(spark, sf_dir, "documents"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_fingerprints": _op1,
+    "op2_lm_scoring": _op2,
     "op3_simhash_near_dedup": _op3,
     "op4_benchmark_decontamination": _op4,
     "op5_license_scan": _op5,

@@ -118,7 +118,7 @@ class Pieces:
         sizes = self.sizes[ids]
         if not self.fallback and (ids == self.unknown).any():
             # An unknown piece covers what lies up to the next known one.
-            pieces, at = self.model.encode(text, out_type="immutable_proto").pieces, 0
+            pieces, at = self.model.encode(text, return_type="proto").pieces, 0
             sizes = np.array([len(p.piece.encode()) for p in pieces] + [0] * (len(ids) - len(pieces)), np.int64)
         ends = np.cumsum(sizes)
         if len(ends) and ends[-1] != len(normal):
