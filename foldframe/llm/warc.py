@@ -191,8 +191,11 @@ def write(pages: DataFrame, out_dir: str, least_bytes: int = 0) -> DataFrame:
     give no archive. A task holds one archive in memory.
     """
     rows = typed(pages, least_bytes)
-    sample = pages.select("url", F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, RECORD_BYTES).alias("p"), F.xxhash64("html").alias("h"))
-    sample = sample.dropDuplicates(["h"]).orderBy("h").limit(DICTIONARY_RECORDS).collect()
+    # The least hashes are found first, so that only the chosen payloads travel.
+    hashed = pages.withColumn("h", F.xxhash64("html"))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(DICTIONARY_RECORDS)
+    begun = F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, RECORD_BYTES)
+    sample = hashed.select("url", "h", begun.alias("p")).join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").collect()
     shared = dictionary([record("0", r["url"], bytes(r["p"]), None) for r in sample])
     store, folder = _opened(out_dir)
     store.create_dir(folder, recursive=True)
