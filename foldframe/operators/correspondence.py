@@ -78,11 +78,21 @@ def sequence_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
-def auto_decision(metrics: DataFrame, min_identity: float = 0.30, min_coverage: float = 0.70) -> DataFrame:
-    """Adds mapping_mode (sequence or structure) and a decision text."""
+def decision(metrics: DataFrame, mode: str = "auto", min_identity: float = 0.30, min_coverage: float = 0.70) -> DataFrame:
+    """Adds mapping_mode (sequence, structure or manual) and the decision's text. auto: by sequence if both thresholds are reached."""
+    i, c = F.bround("identity", 3), F.bround("coverage", 3)
     enough = (F.col("identity") >= min_identity) & (F.col("coverage") >= min_coverage)
-    said = F.format_string("identity %.3f, coverage %.3f: %s mapping", F.bround("identity", 3), F.bround("coverage", 3), F.when(enough, "sequence").otherwise("structure"))
-    return metrics.withColumns({"mapping_mode": F.when(enough, "sequence").otherwise("structure"), "decision": said})
+    # The wording of each decision.
+    said = {
+        "sequence": F.format_string("sequence-guided (explicit mode; identity=%.3f, coverage=%.3f)", i, c),
+        "manual": F.lit("manual (explicit correspondences required)"),
+        "structure": F.lit("structure-guided (explicit mode)"),
+        "auto": F.when(enough, F.format_string(f"sequence-guided (AUTO: identity=%.3f >= {min_identity:.3f}, coverage=%.3f >= {min_coverage:.3f})", i, c)).otherwise(
+            F.format_string("structure-guided (AUTO: identity=%.3f or coverage=%.3f below thresholds)", i, c)
+        ),
+    }
+    chosen = F.when(enough, "sequence").otherwise("structure") if mode == "auto" else F.lit(mode)
+    return metrics.withColumns({"mapping_mode": chosen, "decision": said[mode]})
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -113,6 +123,12 @@ def manual_mapping(pairs: DataFrame, residues: DataFrame) -> DataFrame:
     )
 
 
+def from_report(rows: DataFrame) -> DataFrame:
+    """explode_alignments of a structural alignment report's strings with its own statuses: letters alike or not, never nonstandard."""
+    same = F.when(F.col("reference_aa") == F.col("target_aa"), "conserved").otherwise("substitution")
+    return explode_alignments(rows).withColumns({"status": F.when(F.col("status").isin("insertion", "deletion"), F.col("status")).otherwise(same), "mapping_source": F.lit("structure")})
+
+
 def validate(rows: DataFrame, outlier_cutoff: float = 2.0) -> DataFrame:
     """Adds is_duplicate (a residue that stands in several unlocked rows of its pair) and is_outlier (ca_displacement beyond the cutoff, false if unknown)."""
     locked = F.coalesce(F.col("mapping_locked"), F.lit(False)) if "mapping_locked" in rows.columns else F.lit(False)

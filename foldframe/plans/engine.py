@@ -48,10 +48,10 @@ class Analysis:
     def mutations(self) -> DataFrame:
         return mutations.detect(self.correspondence())
 
-    def summary(self, refined: bool = False, min_identity: float = 0.30, min_coverage: float = 0.70) -> DataFrame:
+    def summary(self, refined: bool = False, mode: str = "auto", min_identity: float = 0.30, min_coverage: float = 0.70) -> DataFrame:
         """A row for each pair: sequence metrics, decision, RMSDs, counts; what can't be had is null."""
         rows = self.correspondence()
-        out = correspondence.auto_decision(correspondence.sequence_metrics(rows), min_identity, min_coverage)
+        out = correspondence.decision(correspondence.sequence_metrics(rows), mode, min_identity, min_coverage)
         out = out.join(superposition.strict_rmsd(superposition.moved(rows, superposition.fit(rows))), "pair_id", "left").join(correspondence.counts(rows), "pair_id", "left")
         if refined:
             out = out.join(superposition.refined(rows).drop("excluded"), "pair_id", "left")

@@ -124,10 +124,10 @@ def sequence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(correspondence.sequence_metrics(_analysis(spark, sf_dir).correspondence()))
 
 
-@query("""SELECT pair_id, mode AS mapping_mode, 'identity ' || format('{:.3f}', identity) || ', coverage ' || format('{:.3f}', coverage) || ': ' || mode || ' mapping' AS decision
-FROM (SELECT *, CASE WHEN identity >= 0.30 AND coverage >= 0.70 THEN 'sequence' ELSE 'structure' END AS mode FROM met)""")
+@query("""SELECT pair_id, mode AS mapping_mode, CASE WHEN mode = 'sequence' THEN 'sequence-guided (AUTO: identity=' || i || ' >= 0.300, coverage=' || c || ' >= 0.700)' ELSE 'structure-guided (AUTO: identity=' || i || ' or coverage=' || c || ' below thresholds)' END AS decision
+FROM (SELECT *, CASE WHEN identity >= 0.30 AND coverage >= 0.70 THEN 'sequence' ELSE 'structure' END AS mode, format('{:.3f}', identity) AS i, format('{:.3f}', coverage) AS c FROM met)""")
 def auto_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correspondence.auto_decision(correspondence.sequence_metrics(_analysis(spark, sf_dir).correspondence())).select("pair_id", "mapping_mode", "decision")
+    return correspondence.decision(correspondence.sequence_metrics(_analysis(spark, sf_dir).correspondence())).select("pair_id", "mapping_mode", "decision")
 
 
 _EVENTS = """SELECT pair_id, alignment_index, kind, reference_label, target_label, notation, CASE WHEN kind = 'substitution' THEN blosum62 END AS blosum62, CASE WHEN kind = 'substitution' THEN grantham END AS grantham,
