@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from foldframe.llm.common import append, column, slices, with_fields
 
 WINDOW = 10
-#: Words of benchmark in one automaton, about 60 bytes of trie nodes a letter; a larger benchmark is scanned for in blocks.
-AUTOMATON_WORDS = 40_000
+#: Bytes of benchmark text in one automaton: each stands in ten windows at most, and so in ten nodes of the trie. A larger benchmark is scanned for in blocks.
+AUTOMATON_BYTES = 240_000
 
 #: A-Z to a-z; every byte that isn't part of a word to a space. All bytes above 0x7F belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -111,14 +111,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     items of the same id count once. Rows of docs stay as they are. Columns of
     docs by the names given here are replaced.
 
-    What goes to the executors is bounded: at most AUTOMATON_WORDS words of
-    benchmark for each automaton. A larger benchmark is split into such blocks
-    by its items' hash (an item is never cut, so that a single item may make
-    a larger block); the same pass over docs runs one after the other.
+    What goes to the executors is bounded: about AUTOMATON_BYTES of benchmark
+    for each automaton. A larger benchmark is split into such blocks by its
+    items' hash (an item is never cut, so that a single item may make a larger
+    block); the same pass over docs runs once for each, one after the other.
     """
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text").distinct()
-    size = named.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0
-    n = int(size // (AUTOMATON_WORDS * 3)) + 1  # words have some three letters and a space at least, on the whole
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(size // AUTOMATON_BYTES) + 1
     keep = [c for c in docs.columns if c not in ("n_words", "_hit", "_items", "hit_spans")]
     out = docs.select(*keep)
     kept = out.schema

@@ -24,8 +24,8 @@ def test_edges(spark, monkeypatch):
         ],
         "doc_id bigint, text string, n_words string",
     )
-    for size in (decontaminate.AUTOMATON_WORDS, 3):
-        monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", size)
+    for size in (decontaminate.AUTOMATON_BYTES, 20):
+        monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", size)
         rows = contamination(docs, bench, with_spans=True).collect()
         got = sorted([(r.doc_id, r.n_words, list(r._hit), list(r._items), [tuple(s) for s in r.hit_spans]) for r in rows], key=str)
         text = docs.filter("doc_id = 1").first().text
