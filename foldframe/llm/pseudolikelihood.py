@@ -1,9 +1,11 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network, trained in numpy.
 
 Each token is predicted from the two before it and the two after it: their
-embeddings, weighted by position, add up, pass a tanh and give a softmax over
-the vocabulary. The sum of the log-probabilities of all tokens, each masked from
-its own prediction, scores a document.
+embeddings, weighted by position, add up, pass a tanh and give the probability
+of a token as that of its class times that within the class, each by a softmax.
+Classes are equal ranges of ids, so of like frequency. The sum of the
+log-probabilities of all tokens, each masked from its own prediction, scores a
+document.
 
 The vocabulary holds the most frequent tokens of all documents; rarer ones share
 buckets. Every task trains a replica from the same start on all of its
@@ -25,17 +27,20 @@ from pyspark.sql import functions as F
 
 from foldframe.llm.common import append, column, slices, with_fields
 
-#: Frequent tokens with an id of their own, and buckets for the others: the size of the softmax.
+#: Frequent tokens with an id of their own, and buckets for the others.
 FREQUENT, RARE = 192, 64
+#: Classes of the vocabulary, and ids in each.
+CLASSES = 16
 WIDTH = 16
 AROUND = (-2, -1, 1, 2)
 #: Tokens of a training step, and the rate of AdaGrad.
-STEP, RATE = 2048, 0.1
+STEP, RATE = 4096, 0.1
 #: A task sends on its token counts when it holds so many distinct ones.
 MOST_COUNTS = 200_000
 
 _VOCABULARY = FREQUENT + RARE
 _PAD = _VOCABULARY
+_EACH = _VOCABULARY // CLASSES
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -65,38 +70,59 @@ class Ids(dict):
 
 
 class Network(NamedTuple):
-    """Embeddings (the pad's last), weights of the positions around, output vectors, output biases."""
+    """Embeddings (the pad's last), weights of the positions around, vectors and biases of classes, then of ids."""
 
     inner: np.ndarray
     place: np.ndarray
+    classes: np.ndarray
+    class_bias: np.ndarray
     outer: np.ndarray
     bias: np.ndarray
 
     @staticmethod
-    def start(counts: np.ndarray) -> Network:
+    def start() -> Network:
         rng = np.random.Generator(np.random.PCG64(1))
         draw = lambda *shape: (rng.random(shape) - 0.5).astype(np.float32)
-        share = (counts + 1) / (counts.sum() + _VOCABULARY)
-        return Network(draw(_VOCABULARY + 1, WIDTH), np.ones((len(AROUND), WIDTH), np.float32), draw(_VOCABULARY, WIDTH) * 0.1, np.log(share).astype(np.float32))
+        return Network(draw(_VOCABULARY + 1, WIDTH), np.ones((len(AROUND), WIDTH), np.float32), draw(CLASSES, WIDTH) * 0.1, np.zeros(CLASSES, np.float32), draw(_VOCABULARY, WIDTH) * 0.1, np.zeros(_VOCABULARY, np.float32))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self])
 
     @staticmethod
     def shaped(flat: np.ndarray) -> Network:
-        shapes = ((_VOCABULARY + 1, WIDTH), (len(AROUND), WIDTH), (_VOCABULARY, WIDTH), (_VOCABULARY,))
+        shapes = [x.shape for x in Network.start()]
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
         return Network(*(part.reshape(s) for part, s in zip(np.split(np.asarray(flat, np.float32), ends[:-1]), shapes, strict=True)))
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.inner[around[:, k]] * self.place[k] for k in range(len(AROUND))))
 
-    def probabilities(self, h: np.ndarray) -> np.ndarray:
-        z = h @ self.outer.T + self.bias
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
+    def softmaxes(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+        """Probabilities of all classes and of all ids of each target's class; targets are sorted, and the slices part them by class."""
+        ends = np.searchsorted(target, np.arange(0, _VOCABULARY + 1, _EACH))
+        parts = [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        within = np.empty((len(target), _EACH), np.float32)
+        for c, part in enumerate(parts):
+            ids = slice(c * _EACH, (c + 1) * _EACH)
+            within[part] = h[part] @ self.outer[ids].T + self.bias[ids]
+        return _softmax(h @ self.classes.T + self.class_bias), _softmax(within), parts
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def log_probabilities(net: Network, target: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Of each target, given what stands around it."""
+    order = np.argsort(target, kind="stable")
+    own, rows = target[order], np.arange(len(target))
+    of_class, within, _ = net.softmaxes(net.hidden(around[order]), own)
+    out = np.empty(len(target))
+    out[order] = np.log(np.maximum(of_class[rows, own // _EACH], 1e-30)) + np.log(np.maximum(within[rows, own % _EACH], 1e-30))
+    return out
 
 
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,16 +143,28 @@ class Trainer:
 
     def learn(self, target: np.ndarray, around: np.ndarray) -> None:
         net, n, rows = self.net, len(target), np.arange(len(target))
-        h = net.hidden(around)
-        d = net.probabilities(h)
-        d[rows, target] -= 1
-        d /= n
-        back = d @ net.outer * (1 - h * h)
-        place = np.stack([(back * net.inner[around[:, k]]).sum(0) for k in range(len(AROUND))])
-        flat = around.T.ravel()
+        order = np.argsort(target, kind="stable")
+        own, near = target[order], around[order]
+        h = net.hidden(near)
+        of_class, within, parts = net.softmaxes(h, own)
+        of_class[rows, own // _EACH] -= 1
+        within[rows, own % _EACH] -= 1
+        of_class /= n
+        within /= n
+        back = of_class @ net.classes
+        outer = np.empty_like(net.outer)
+        bias = np.empty_like(net.bias)
+        for c, part in enumerate(parts):
+            ids = slice(c * _EACH, (c + 1) * _EACH)
+            back[part] += within[part] @ net.outer[ids]
+            outer[ids] = within[part].T @ h[part]
+            bias[ids] = within[part].sum(0)
+        back *= 1 - h * h
+        place = np.stack([(back * net.inner[near[:, k]]).sum(0) for k in range(len(AROUND))])
+        flat = near.T.ravel()
         spread = np.concatenate([back * net.place[k] for k in range(len(AROUND))])
         inner = np.stack([np.bincount(flat, spread[:, j], _VOCABULARY + 1) for j in range(WIDTH)], 1).astype(np.float32)
-        for x, g, s in zip(net, (inner, place, d.T @ h, d.sum(0)), self.squares, strict=True):
+        for x, g, s in zip(net, (inner, place, of_class.T @ h, of_class.sum(0), outer, bias), self.squares, strict=True):
             s += g * g
             x -= RATE * g / np.sqrt(s)
 
@@ -135,10 +173,9 @@ def log_likelihoods(ids: list[np.ndarray], net: Network) -> np.ndarray:
     """Summed log-probability of each document's tokens."""
     target, around = windows(ids)
     log = np.empty(len(target))
-    for at in range(0, len(target), 4096):
-        part = slice(at, at + 4096)
-        p = net.probabilities(net.hidden(around[part]))
-        log[part] = np.log(np.maximum(p[np.arange(len(p)), target[part]], 1e-30))
+    for at in range(0, len(target), STEP):
+        part = slice(at, at + STEP)
+        log[part] = log_probabilities(net, target[part], around[part])
     ends = np.cumsum([len(x) for x in ids])
     sums = np.concatenate(([0.0], np.cumsum(log)))
     return sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
@@ -169,7 +206,7 @@ def vocabulary(docs: DataFrame) -> list[str]:
 
 def _replica(frequent: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, trainer, seen = Ids(frequent), Trainer(Network.start(np.zeros(_VOCABULARY))), 0
+        ids, trainer, seen = Ids(frequent), Trainer(Network.start()), 0
         for batch in slices(batches):
             target, around = windows([ids.of(t) for t in column(batch, "text").to_pylist()])
             for at in range(0, len(target), STEP):
@@ -192,7 +229,7 @@ def fit(docs: DataFrame) -> Model:
     frequent = vocabulary(docs)
     sums = docs.select("text").mapInArrow(_replica(frequent), "at int, weight double").groupBy("at").agg(F.sum("weight").alias("weight")).orderBy("at").collect()
     if not sums:
-        return Model(frequent, Network.start(np.zeros(_VOCABULARY)))
+        return Model(frequent, Network.start())
     flat = np.array([r["weight"] for r in sums])
     return Model(frequent, Network.shaped(flat[:-1] / flat[-1]))
 

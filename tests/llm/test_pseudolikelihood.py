@@ -18,21 +18,22 @@ def _plain(ids, net):
         for k, off in enumerate(lm.AROUND):
             c = ids[t + off] if 0 <= t + off < len(ids) else lm._PAD
             x += net.inner[c].astype(float) * net.place[k]
-        z = np.tanh(x) @ net.outer.T.astype(float) + net.bias
-        total += z[w] - z.max() - math.log(np.exp(z - z.max()).sum())
+        h, c = np.tanh(x), w // lm._EACH
+        for z, at in ((net.classes.astype(float) @ h + net.class_bias, c), ((net.outer.astype(float) @ h + net.bias)[c * lm._EACH : (c + 1) * lm._EACH], w % lm._EACH)):
+            total += z[at] - z.max() - math.log(np.exp(z - z.max()).sum())
     return total
 
 
 def test_gradient():
     rng = np.random.default_rng(0)
-    net = lm.Network.start(rng.integers(1, 50, lm._VOCABULARY))
+    net = lm.Network.start()
     ids = [rng.integers(0, lm._VOCABULARY, 40).astype(np.int32) for _ in range(3)]
     target, around = lm.windows(ids)
-    loss = lambda n: -np.log(n.probabilities(n.hidden(around))[np.arange(len(target)), target].astype(float)).mean()
+    loss = lambda n: -lm.log_probabilities(n, target, around).mean()
     trainer = lm.Trainer(net)
     trainer.squares = [np.full_like(x, 1e-30) for x in net]
     trainer.learn(target, around)
-    for part in range(4):
+    for part in range(6):
         g = np.sqrt(trainer.squares[part].astype(float))
         at = np.unravel_index(g.argmax(), g.shape)
         moved = [lm.Network(*(x.copy() for x in net)) for _ in range(2)]
@@ -56,7 +57,7 @@ def test_whole_table(spark):
         assert rows[r.doc_id].n_tokens == len(lm.tokens(r.text))
         assert abs(rows[r.doc_id].log_likelihood - _plain(ids.of(r.text).tolist(), model.net)) < 1e-3 * max(1, rows[r.doc_id].n_tokens)
     # Order matters, on both sides, and training has found it.
-    start = lm.Network.start(np.zeros(lm._VOCABULARY))
+    start = lm.Network.start()
     texts = [ids.of(r.text) for r in docs.limit(200).collect()]
     rng = random.Random(0)
     mixed = [np.array(rng.sample(x.tolist(), len(x)), np.int32) for x in texts]
