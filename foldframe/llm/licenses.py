@@ -104,12 +104,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     keep = [c for c in docs.columns if c not in ("n_compared", "license", "dice")]
     plain = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[^a-z0-9\n]+", " ")
-    paragraphs = F.split(plain, "\n *\n")
-    units = F.array_distinct(F.transform(F.concat(F.split(plain, "\n"), paragraphs, F.array(plain)), lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))))
+    # A value that is bound to a lambda's variable is worked out once, however often it's used.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    units = once(plain, lambda p: F.concat(F.split(p, "\n"), F.when(F.contains(p, F.lit("\n")), F.concat(F.split(p, "\n *\n"), F.array(p))).otherwise(F.array().cast("array<string>"))))
+    tidy = F.array_distinct(F.transform(units, lambda u: F.trim(F.when(F.contains(u, F.lit("\n")), F.regexp_replace(u, "[ \n]+", " ")).otherwise(u))))
     # A unit's number of bigrams is that of its spaces.
-    spaces = lambda u: F.length(u) - F.length(F.translate(u, " ", ""))
-    sizes = sorted({sum(g.values()) for g in GRAMS.values()})
-    candidates = F.filter(units, lambda u: reduce(lambda a, b: a | b, (_fits(spaces(u), t) for t in sizes)))
+    sized = F.transform(tidy, lambda u: F.struct(u.alias("u"), (F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))).alias("n")))
+    bounds = sorted({sum(g.values()) for g in GRAMS.values()})
+    candidates = F.filter(sized, lambda s: reduce(lambda a, b: a | b, (_fits(s["n"], t) for t in bounds)))
 
     def pairs(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
@@ -122,14 +124,19 @@ def scan(docs: DataFrame) -> DataFrame:
             each.append(F.when(_fits(n, t), F.struct((_shared(grams, template) * 2.0 / (n + t)).alias("dice"), F.lit(-i).alias("rank"))))
         return F.array_max(F.array(*each))
 
-    compared = F.aggregate(
-        candidates, F.lit(0).cast("long"), lambda n, u: n + reduce(lambda a, b: a + b, (_fits(spaces(u), sum(g.values())).cast("long") for g in GRAMS.values()))
-    )
-    found = F.array_max(F.transform(F.transform(candidates, lambda u: pairs(F.split(u, " "))), best))
+    def outcome(found: Column) -> Column:
+        compared = F.aggregate(found, F.lit(0).cast("long"), lambda n, s: n + reduce(lambda a, b: a + b, (_fits(s["n"], sum(g.values())).cast("long") for g in GRAMS.values())))
+        top = F.array_max(F.transform(found, lambda s: once(once(F.split(s["u"], " "), pairs), best)))
+        return F.struct(compared.alias("n"), top.alias("top"))
+
     names = F.array(*[F.lit(name) for name in GRAMS])
-    out = docs.select(*keep, compared.alias("n_compared"), found.alias("_found"))
-    sure = F.col("_found.dice") * LEAST[1] >= LEAST[0]
-    return out.select(*keep, "n_compared", F.when(sure, F.get(names, -F.col("_found.rank"))).alias("license"), F.when(sure, F.col("_found.dice")).alias("dice"))
+    result = once(candidates, outcome)
+
+    def said(r: Column) -> Column:
+        sure = r["top"]["dice"] * LEAST[1] >= LEAST[0]
+        return F.struct(r["n"].alias("n_compared"), F.when(sure, F.get(names, -r["top"]["rank"])).alias("license"), F.when(sure, r["top"]["dice"]).alias("dice"))
+
+    return docs.select(*keep, F.inline(F.transform(F.array(result), said)))
 
 
 def op5_license_scan(docs: DataFrame) -> DataFrame:
