@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldframe.llm.common import append, column, slices, with_fields
+from foldframe.llm.common import append, column, slices, stable, with_fields
 
 #: Frequent tokens with an id of their own, and buckets for the others.
 FREQUENT, RARE = 192, 64
@@ -204,56 +204,81 @@ def vocabulary(docs: DataFrame) -> list[str]:
     return [r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()]
 
 
-def _replica(frequent: list[str]):
+def _encoder(frequent: list[str], keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, trainer, seen = Ids(frequent), Trainer(Network.start()), 0
+        ids = Ids(frequent)
         for batch in slices(batches):
-            target, around = windows([ids.of(t) for t in column(batch, "text").to_pylist()])
-            for at in range(0, len(target), STEP):
-                trainer.learn(target[at : at + STEP], around[at : at + STEP])
-            seen += len(target)
-        if seen:
-            flat = trainer.net.flat().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, seen))], names=["at", "weight"])
+            own = [ids.of(t).astype(np.uint8).tobytes() for t in column(batch, "text").to_pylist()]
+            yield append(batch, keep, ids=pa.array(own, pa.binary()))
 
     return run
 
 
+def encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
+    """The columns of docs but text, and ids: a byte for each token, kept in the shared folder since training and scoring both read it."""
+    keep = [c for c in docs.columns if c not in ("text", "ids")]
+    return stable(docs.select(*keep, "text").mapInArrow(_encoder(frequent, keep), with_fields(docs.select(*keep).schema, "ids binary")))
+
+
+def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8).astype(np.int32) for x in column(batch, "ids").to_pylist()]
+
+
+def _replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trainer, seen = Trainer(Network.start()), 0
+    for batch in slices(batches, "ids", 1 << 20):
+        target, around = windows(_ids(batch))
+        for at in range(0, len(target), STEP):
+            trainer.learn(target[at : at + STEP], around[at : at + STEP])
+        seen += len(target)
+    if seen:
+        flat = trainer.net.flat().astype(np.float64) * seen
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, seen))], names=["at", "weight"])
+
+
+def train(ids: DataFrame) -> Network:
+    """The network from every token of ids. The driver gets one sum for each weight. Without tokens it is the start."""
+    sums = ids.select("ids").mapInArrow(_replica, "at int, weight double").groupBy("at").agg(F.sum("weight").alias("weight")).orderBy("at").collect()
+    if not sums:
+        return Network.start()
+    flat = np.array([r["weight"] for r in sums])
+    return Network.shaped(flat[:-1] / flat[-1])
+
+
 class Model(NamedTuple):
     frequent: list[str]
     net: Network
 
 
 def fit(docs: DataFrame) -> Model:
-    """Vocabulary and network from every token of docs. The driver gets the vocabulary and one sum for each weight. Without tokens the network is the start."""
+    """Vocabulary and network from every token of docs."""
     frequent = vocabulary(docs)
-    sums = docs.select("text").mapInArrow(_replica(frequent), "at int, weight double").groupBy("at").agg(F.sum("weight").alias("weight")).orderBy("at").collect()
-    if not sums:
-        return Model(frequent, Network.start())
-    flat = np.array([r["weight"] for r in sums])
-    return Model(frequent, Network.shaped(flat[:-1] / flat[-1]))
+    return Model(frequent, train(encoded(docs.select("text"), frequent)))
 
 
-def _scorer(model, keep: list[str]):
+def _scorer(net, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, net = model.value
-        ids = Ids(frequent)
-        for batch in slices(batches):
-            own = [ids.of(t) for t in column(batch, "text").to_pylist()]
-            yield append(batch, keep, n_tokens=pa.array([len(x) for x in own], pa.int64()), log_likelihood=pa.array(log_likelihoods(own, net)))
+        for batch in slices(batches, "ids", 1 << 20):
+            own = _ids(batch)
+            yield append(batch, keep, n_tokens=pa.array([len(x) for x in own], pa.int64()), log_likelihood=pa.array(log_likelihoods(own, net.value)))
 
     return run
 
 
+def _scores(ids: DataFrame, net: Network) -> DataFrame:
+    keep = [c for c in ids.columns if c not in ("ids", "n_tokens", "log_likelihood")]
+    sent = ids.sparkSession.sparkContext.broadcast(net)
+    return ids.select(*keep, "ids").mapInArrow(_scorer(sent, keep), with_fields(ids.select(*keep).schema, "n_tokens bigint, log_likelihood double"))
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs, n_tokens and log_likelihood (natural logarithm, 0 without tokens); columns of these names are replaced. Rows stay as they are."""
-    keep = [c for c in docs.columns if c not in ("n_tokens", "log_likelihood")]
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
-    return docs.select(*keep).mapInArrow(_scorer(sent, keep), with_fields(docs.select(*keep).schema, "n_tokens bigint, log_likelihood double"))
+    """The columns of docs but text, n_tokens and log_likelihood (natural logarithm, 0 without tokens); columns of these names, and one named ids, are replaced. Rows stay as they are."""
+    return _scores(encoded(docs, model.frequent), model.net)
 
 
 def op2_lm_scoring(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, and its mean by token (null without tokens), a row for each document."""
     own = docs.select("doc_id", "text")
-    out = scored(own, fit(own))
+    ids = encoded(own, vocabulary(own))
+    out = _scores(ids, train(ids))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("per_token"))
