@@ -7,9 +7,12 @@ Classes are equal ranges of ids, so of like frequency. The sum of the
 log-probabilities of all tokens, each masked from its own prediction, scores a
 document.
 
-The vocabulary holds the most frequent tokens of all documents; rarer ones share
-buckets. Every task trains a replica from the same start on all of its
-documents; the replicas are averaged, weighted by tokens, in a distributed sum.
+The vocabulary holds all tokens of a least count, which grows with the square
+root of the corpus, so that vocabulary and output layer grow with it; rarer
+tokens share buckets, a third as many as there are frequent tokens. Biases start
+from the counts. Every task trains a replica from the same start on all of its
+documents; the replicas are averaged class by class in a distributed sum, each
+token's vectors weighted by how often the replica met it.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import functions as F
 
 from foldframe.llm.common import append, column, slices, stable, with_fields
 
-#: Frequent tokens with an id of their own, and buckets for the others.
-FREQUENT, RARE = 192, 64
-#: Classes of the vocabulary, and ids in each.
-CLASSES = 16
+#: The most frequent tokens that have an id of their own in a corpus of any size.
+FREQUENT = 4096
+#: A token of LEAST_COUNT, and of the square root of all tokens over ROOT_SHARE, has an id of its own too.
+LEAST_COUNT, ROOT_SHARE = 10, 225
 WIDTH = 16
 AROUND = (-2, -1, 1, 2)
 #: Tokens of a training step, and the rate of AdaGrad.
@@ -38,9 +41,10 @@ STEP, RATE = 4096, 0.1
 #: A task sends on its token counts when it holds so many distinct ones.
 MOST_COUNTS = 200_000
 
-_VOCABULARY = FREQUENT + RARE
-_PAD = _VOCABULARY
-_EACH = _VOCABULARY // CLASSES
+#: Ids of a class.
+_EACH = 256
+#: The last row of the embeddings.
+_PAD = -1
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -48,20 +52,30 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+def size(frequent: int) -> int:
+    """Ids for so many frequent tokens and their buckets, in whole classes."""
+    return -(-(frequent + frequent // 3 + 1) // _EACH) * _EACH
+
+
+#: Ids of the smallest corpus that has FREQUENT tokens.
+_VOCABULARY = size(FREQUENT)
+
+
 class Ids(dict):
     """Token -> id; rare ones by hash. Starts anew when it holds too many."""
 
     def __init__(self, frequent: list[str]) -> None:
         super().__init__({t: i for i, t in enumerate(frequent)})
-        self.frequent = dict(self)
+        self.frequent = frequent
+        self.rare = size(len(frequent)) - len(frequent)
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 100_000:
+        if len(self) > len(self.frequent) + 100_000:
             self.clear()
-            self.update(self.frequent)
+            self.update((t, i) for i, t in enumerate(self.frequent))
             if token in self:
                 return self[token]
-        found = self[token] = FREQUENT + xxhash.xxh64_intdigest(token) % RARE
+        found = self[token] = len(self.frequent) + xxhash.xxh64_intdigest(token) % self.rare
         return found
 
     def of(self, text: str | None) -> np.ndarray:
@@ -80,29 +94,27 @@ class Network(NamedTuple):
     bias: np.ndarray
 
     @staticmethod
-    def start() -> Network:
+    def start(counts: np.ndarray | None = None) -> Network:
+        """Before training: biases from the counts of all ids, or even ones for _VOCABULARY ids."""
+        n = _VOCABULARY if counts is None else len(counts)
         rng = np.random.Generator(np.random.PCG64(1))
         draw = lambda *shape: (rng.random(shape) - 0.5).astype(np.float32)
-        return Network(draw(_VOCABULARY + 1, WIDTH), np.ones((len(AROUND), WIDTH), np.float32), draw(CLASSES, WIDTH) * 0.1, np.zeros(CLASSES, np.float32), draw(_VOCABULARY, WIDTH) * 0.1, np.zeros(_VOCABULARY, np.float32))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self])
-
-    @staticmethod
-    def shaped(flat: np.ndarray) -> Network:
-        shapes = [x.shape for x in Network.start()]
-        ends = np.cumsum([int(np.prod(s)) for s in shapes])
-        return Network(*(part.reshape(s) for part, s in zip(np.split(np.asarray(flat, np.float32), ends[:-1]), shapes, strict=True)))
+        by_class = np.ones((n // _EACH, _EACH)) if counts is None else np.maximum(counts, 0.1).reshape(-1, _EACH)
+        of_class = by_class.sum(1)
+        bias = np.log(by_class / of_class[:, None]).ravel().astype(np.float32)
+        return Network(draw(n + 1, WIDTH), np.ones((len(AROUND), WIDTH), np.float32), draw(n // _EACH, WIDTH) * 0.1, np.log(of_class / of_class.sum()).astype(np.float32), draw(n, WIDTH) * 0.1, bias)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.inner[around[:, k]] * self.place[k] for k in range(len(AROUND))))
 
     def softmaxes(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
         """Probabilities of all classes and of all ids of each target's class; targets are sorted, and the slices part them by class."""
-        ends = np.searchsorted(target, np.arange(0, _VOCABULARY + 1, _EACH))
+        ends = np.searchsorted(target, np.arange(0, len(self.bias) + 1, _EACH))
         parts = [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         within = np.empty((len(target), _EACH), np.float32)
         for c, part in enumerate(parts):
+            if part.start == part.stop:
+                continue
             ids = slice(c * _EACH, (c + 1) * _EACH)
             within[part] = h[part] @ self.outer[ids].T + self.bias[ids]
         return _softmax(h @ self.classes.T + self.class_bias), _softmax(within), parts
@@ -139,7 +151,7 @@ class Trainer:
 
     def __init__(self, net: Network) -> None:
         self.net = Network(*(x.copy() for x in net))
-        self.squares = [np.full(x.shape, 1e-6, np.float32) for x in net]
+        self.squares = [np.full(x.shape, 1e-10 if i in (0, 4, 5) else 1e-6, np.float32) for i, x in enumerate(net)]
 
     def learn(self, target: np.ndarray, around: np.ndarray) -> None:
         net, n, rows = self.net, len(target), np.arange(len(target))
@@ -152,21 +164,25 @@ class Trainer:
         of_class /= n
         within /= n
         back = of_class @ net.classes
-        outer = np.empty_like(net.outer)
-        bias = np.empty_like(net.bias)
+        moves = [(1, slice(None), None), (2, slice(None), of_class.T @ h), (3, slice(None), of_class.sum(0))]
         for c, part in enumerate(parts):
+            if part.start == part.stop:
+                continue
             ids = slice(c * _EACH, (c + 1) * _EACH)
             back[part] += within[part] @ net.outer[ids]
-            outer[ids] = within[part].T @ h[part]
-            bias[ids] = within[part].sum(0)
+            moves += [(4, ids, within[part].T @ h[part]), (5, ids, within[part].sum(0))]
         back *= 1 - h * h
-        place = np.stack([(back * net.inner[near[:, k]]).sum(0) for k in range(len(AROUND))])
+        moves[0] = (1, slice(None), np.stack([(back * net.inner[near[:, k]]).sum(0) for k in range(len(AROUND))]))
         flat = near.T.ravel()
         spread = np.concatenate([back * net.place[k] for k in range(len(AROUND))])
-        inner = np.stack([np.bincount(flat, spread[:, j], _VOCABULARY + 1) for j in range(WIDTH)], 1).astype(np.float32)
-        for x, g, s in zip(net, (inner, place, of_class.T @ h, of_class.sum(0), outer, bias), self.squares, strict=True):
-            s += g * g
-            x -= RATE * g / np.sqrt(s)
+        by_id = np.argsort(flat, kind="stable")
+        flat = flat[by_id]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        moves.append((0, flat[first], np.add.reduceat(spread[by_id], first, axis=0)))
+        for i, at, g in moves:
+            s = self.squares[i][at] + g * g
+            self.squares[i][at] = s
+            net[i][at] -= RATE * g / np.sqrt(s)
 
 
 def log_likelihoods(ids: list[np.ndarray], net: Network) -> np.ndarray:
@@ -198,51 +214,120 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent()
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The FREQUENT most frequent tokens of all documents, of equal ones the first by name."""
-    counts = docs.select("text").mapInArrow(_count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return [r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()]
+class Vocabulary(NamedTuple):
+    """Frequent tokens, and a count for each id; buckets have like shares of what is left."""
+
+    frequent: list[str]
+    counts: np.ndarray
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """All tokens of a least count by the corpus's size, and the FREQUENT most frequent in any case; of equal ones the first by name."""
+    counts = stable(docs.select("text").mapInArrow(_count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST_COUNT, round(total**0.5 / ROOT_SHARE))
+    rows = counts.filter(F.col("n") >= least).collect()
+    if len(rows) < FREQUENT:
+        rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
+    rows.sort(key=lambda r: (-r["n"], r["token"]))
+    own = np.array([r["n"] for r in rows], np.float64)
+    rare = size(len(rows)) - len(rows)
+    return Vocabulary([r["token"] for r in rows], np.concatenate((own, np.full(rare, (total - own.sum()) / rare))))
+
 
+def _kind(n: int) -> type:
+    """The type of an encoded id of n."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
 
-def _encoder(frequent: list[str], keep: list[str]):
+
+def _encoder(frequent, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(frequent)
+        ids, kind = Ids(frequent.value), _kind(size(len(frequent.value)))
         for batch in slices(batches):
-            own = [ids.of(t).astype(np.uint8).tobytes() for t in column(batch, "text").to_pylist()]
+            own = [ids.of(t).astype(kind).tobytes() for t in column(batch, "text").to_pylist()]
             yield append(batch, keep, ids=pa.array(own, pa.binary()))
 
     return run
 
 
 def encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
-    """The columns of docs but text, and ids: a byte for each token, kept in the shared folder since training and scoring both read it."""
+    """The columns of docs but text, and ids: two or four bytes for each token, kept in the shared folder since training and scoring both read it."""
     keep = [c for c in docs.columns if c not in ("text", "ids")]
-    return stable(docs.select(*keep, "text").mapInArrow(_encoder(frequent, keep), with_fields(docs.select(*keep).schema, "ids binary")))
+    return stable(docs.select(*keep, "text").mapInArrow(_encoder(docs.sparkSession.sparkContext.broadcast(frequent), keep), with_fields(docs.select(*keep).schema, "ids binary")))
+
+
+def _ids(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, _kind(n)).astype(np.int32) for x in column(batch, "ids").to_pylist()]
+
+
+def _of_class(c: int) -> slice:
+    return slice(c * _EACH, (c + 1) * _EACH)
+
 
+def _shared(net: Network) -> np.ndarray:
+    """What belongs to no token: the pad's embedding, positions, classes."""
+    return np.concatenate([net.inner[_PAD], net.place.ravel(), net.classes.ravel(), net.class_bias])
 
-def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint8).astype(np.int32) for x in column(batch, "ids").to_pylist()]
 
+def _rows(net: Network, c: int) -> np.ndarray:
+    """The tokens of a class, a row each: embedding, vector, bias."""
+    return np.concatenate([net.inner[:_PAD][_of_class(c)], net.outer[_of_class(c)], net.bias[_of_class(c), None]], 1)
 
-def _replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trainer, seen = Trainer(Network.start()), 0
-    for batch in slices(batches, "ids", 1 << 20):
-        target, around = windows(_ids(batch))
-        for at in range(0, len(target), STEP):
-            trainer.learn(target[at : at + STEP], around[at : at + STEP])
-        seen += len(target)
-    if seen:
-        flat = trainer.net.flat().astype(np.float64) * seen
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, seen))], names=["at", "weight"])
+
+def _replica(counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(counts.value)
+        trainer, met = Trainer(Network.start(counts.value)), np.zeros(n)
+        for batch in slices(batches, "ids", 1 << 20):
+            target, around = windows(_ids(batch, n))
+            for at in range(0, len(target), STEP):
+                trainer.learn(target[at : at + STEP], around[at : at + STEP])
+            met += np.bincount(target, minlength=n)
+        if not met.any():
+            return
+        yield _sent(-1, _shared(trainer.net), met.sum(keepdims=True))
+        for c in np.flatnonzero(met.reshape(-1, _EACH).any(1)).tolist():
+            yield _sent(c, _rows(trainer.net, c), met[_of_class(c)])
+
+    return run
 
 
-def train(ids: DataFrame) -> Network:
-    """The network from every token of ids. The driver gets one sum for each weight. Without tokens it is the start."""
-    sums = ids.select("ids").mapInArrow(_replica, "at int, weight double").groupBy("at").agg(F.sum("weight").alias("weight")).orderBy("at").collect()
-    if not sums:
-        return Network.start()
-    flat = np.array([r["weight"] for r in sums])
-    return Network.shaped(flat[:-1] / flat[-1])
+def _sent(c: int, values: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([values.astype(np.float32).tobytes()]), pa.array([met.astype(np.float64).tobytes()])], names=["class", "weights", "met"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of replicas -> one row for each class: their mean by how often each row was met."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for c, weights, met in zip(*(column(batch, k).to_pylist() for k in ("class", "weights", "met")), strict=True):
+            n = np.frombuffer(met, np.float64)
+            part = np.frombuffer(weights, np.float32).reshape(len(n), -1) * n[:, None]
+            if c in sums:
+                sums[c][0] += part
+                sums[c][1] += n
+            else:
+                sums[c] = [part, n.copy()]
+    for c, (part, n) in sums.items():
+        yield _sent(c, part / np.maximum(n, 1)[:, None], n)
+
+
+def train(ids: DataFrame, counts: np.ndarray) -> Network:
+    """The network from every token of ids. The driver gets one mean for each weight. What no document holds is as at the start."""
+    net = Network.start(counts)
+    sent = ids.sparkSession.sparkContext.broadcast(counts)
+    schema = "class int, weights binary, met binary"
+    for r in ids.select("ids").mapInArrow(_replica(sent), schema).repartition(min(len(net.classes), 200), "class").mapInArrow(_averaged, schema).collect():
+        c, values = r["class"], np.frombuffer(r["weights"], np.float32)
+        if c < 0:
+            ends = np.cumsum([WIDTH, net.place.size, net.classes.size])
+            for x, part in zip((net.inner[_PAD], net.place, net.classes, net.class_bias), np.split(values, ends), strict=True):
+                x[...] = part.reshape(x.shape)
+        else:
+            met = np.flatnonzero(np.frombuffer(r["met"], np.float64))
+            part, at = values.reshape(_EACH, -1)[met], c * _EACH + met
+            net.inner[at], net.outer[at], net.bias[at] = part[:, :WIDTH], part[:, WIDTH : 2 * WIDTH], part[:, -1]
+    return net
 
 
 class Model(NamedTuple):
@@ -252,14 +337,14 @@ class Model(NamedTuple):
 
 def fit(docs: DataFrame) -> Model:
     """Vocabulary and network from every token of docs."""
-    frequent = vocabulary(docs)
-    return Model(frequent, train(encoded(docs.select("text"), frequent)))
+    frequent, counts = vocabulary(docs)
+    return Model(frequent, train(encoded(docs.select("text"), frequent), counts))
 
 
 def _scorer(net, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids", 1 << 20):
-            own = _ids(batch)
+            own = _ids(batch, len(net.value.bias))
             yield append(batch, keep, n_tokens=pa.array([len(x) for x in own], pa.int64()), log_likelihood=pa.array(log_likelihoods(own, net.value)))
 
     return run
@@ -279,6 +364,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def op2_lm_scoring(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, and its mean by token (null without tokens), a row for each document."""
     own = docs.select("doc_id", "text")
-    ids = encoded(own, vocabulary(own))
-    out = _scores(ids, train(ids))
+    frequent, counts = vocabulary(own)
+    ids = encoded(own, frequent)
+    out = _scores(ids, train(ids, counts))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("per_token"))

@@ -74,3 +74,30 @@ def test_edges(spark):
     assert got == sorted([(1, 0, True), (2, 0, True), (3, 0, True), (4, 1, False), (4, 1, False), (5, 100_000, False), (None, 3, False)], key=str)
     assert lm.op2_lm_scoring(docs.limit(0)).count() == 0
     assert all(r.log_likelihood == 0 for r in lm.op2_lm_scoring(docs.filter("doc_id < 4")).collect())
+
+
+def test_vocabulary_grows(spark):
+    def corpus(n):
+        return spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 50, i * 50 + 50)) + f" once{i}") for i in range(n)] * lm.LEAST_COUNT, "doc_id bigint, text string")
+
+    few, many = corpus(60), corpus(240)
+    assert len(lm.vocabulary(few).frequent) == 60 * 51
+    frequent, counts = lm.vocabulary(many)
+    assert len(frequent) == 240 * 51 > lm.FREQUENT and len(counts) == lm.size(len(frequent))
+    # Every token of the least count is told apart and has a row of its own in the network.
+    ids = lm.Ids(frequent)
+    assert len({ids[t] for t in frequent}) == len(frequent)
+    net = lm.fit(many).net
+    assert len(net.bias) == len(net.outer) == len(net.inner) - 1 == len(counts)
+
+
+def test_rare_words_differ(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").limit(3000)
+    frequent, _ = lm.vocabulary(docs)
+    model = lm.fit(docs)
+    # Tokens far down the vocabulary, in one and the same context, by what stands around them.
+    ids = np.arange(2000, 4000, dtype=np.int32)
+    around = np.tile(np.array([5, 6, 7, 8], np.int32), (len(ids), 1))
+    got = lm.log_probabilities(model.net, ids, around)
+    assert len(np.unique(got.round(9))) > 0.9 * len(ids)
+    assert np.isfinite(got).all() and model.frequent == frequent
