@@ -111,19 +111,30 @@ def likeness(a: str, b: str) -> float:
 
 
 def bands(fp: str) -> list[int]:
-    """Hashes of the bands of a fingerprint; one too short for an octave of SAMPLES is a single band as a whole."""
+    """Hashes of the bands of a fingerprint: of its last two full octaves, or of its first samples.
+
+    Below the first octave of which only a part is taken, bands are drawn from
+    the longest beginnings of 2^k samples, two of them, so that fingerprints
+    near in length have one in common across every boundary. Fewer than four
+    samples, of which none may differ in a near pair, are a single band.
+    """
     first = 2 * SAMPLES  # samples below the first octave of which only a part is taken
-    octaves = (len(fp) - first) // SAMPLES
-    if octaves < 1:
+    octaves = max((len(fp) - first) // SAMPLES, 0)
+    # Each part: a number for its draws, and where it lies.
+    parts = [(octave, first + octave * SAMPLES, SAMPLES) for octave in range(max(octaves - 2, 0), octaves)]
+    if octaves < 2:
+        longest = min(len(fp), first).bit_length() - 1
+        parts += [(OCTAVES + k, 0, 1 << k) for k in range(longest, max(longest - 2 + octaves, 1), -1)]
+    if not parts:
         return [xxhash.xxh64_intdigest(fp) >> 1]
     out = []
-    for octave in range(max(octaves - 2, 0), octaves):
-        own = fp[first + octave * SAMPLES : first + (octave + 1) * SAMPLES]
-        # Steps drawn for each band from all parts of the octave.
-        drawn = _mixed(np.arange(BANDS * BAND_STEPS, dtype=np.uint64) + np.uint64(octave << 40)) % np.uint64(SAMPLES)
+    for number, start, size in parts:
+        own = fp[start : start + size]
+        # Steps drawn for each band from all of the part.
+        drawn = _mixed(np.arange(BANDS * BAND_STEPS, dtype=np.uint64) + np.uint64(number << 40)) % np.uint64(size)
         for band in range(BANDS):
             key = "".join(own[i] for i in drawn[band * BAND_STEPS : (band + 1) * BAND_STEPS].tolist())
-            out.append(xxhash.xxh64_intdigest(f"{octave} {band} {key}") >> 1)
+            out.append(xxhash.xxh64_intdigest(f"{number} {band} {key}") >> 1)
     return out
 
 

@@ -73,3 +73,25 @@ def test_few_edits_stay_near_and_are_found(spark):
     every = {r.fingerprint for r in fps.collect()}
     want = {(q.fingerprint, f) for q in queries.collect() for f in every if likeness(q.fingerprint, f) >= 0.8}
     assert got.keys() <= want and len(got) >= 0.9 * len(want)
+
+
+def test_short_near_copies_are_found(spark):
+    rng = random.Random(9)
+    fps = {fingerprint("".join(rng.choice("abcdefghijklmnop ") for _ in range(n))) for n in range(2, 140, 2)}
+    # Some symbols changed, some cut: across the boundaries of the bands, too.
+    for fp in sorted(fps):
+        for _ in range(4):
+            own = list(fp)
+            for _ in range(rng.randrange(1, 2 + len(own) // 8)):
+                own[rng.randrange(len(own))] = rng.choice("XYZ")
+            fps.add("".join(own[: len(own) - rng.randrange(1 + len(own) // 10)]))
+    table = spark.createDataFrame([(x,) for x in sorted(fps)], "fingerprint string")
+    got = {(r.query, r.found) for r in search(table, table).collect()}
+    want = {(a, b) for a in fps for b in fps if likeness(a, b) >= 0.8}
+    assert got <= want
+    both = lambda low, high: {(a, b) for a, b in want if a != b and low <= len(a) < high}
+    for low, high in ((1, 16), (16, 64), (64, 192), (192, 400)):
+        near = both(low, high)
+        assert len(near) > 10 and len(got & near) >= 0.9 * len(near), (low, len(near), len(got & near))
+    across = {(a, b) for a, b in want if len(a) < 192 <= len(b)}
+    assert across and len(got & across) >= 0.9 * len(across)
