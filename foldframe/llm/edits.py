@@ -28,8 +28,8 @@ OCTAVES = 44
 PERIOD = 4096
 #: Bands of a fingerprint, and the sampled steps in each; both in its last full octave and in the one before.
 BANDS, BAND_STEPS = 16, 4
-#: Text of a piece of the ordered documents, and the most pieces (each is a row in the driver).
-PIECE_BYTES, MOST_PIECES = 16 << 20, 1 << 14
+#: Text of a piece of the ordered documents at most (but for rows of one id), and the least that makes a further piece worth while to give every core one. A piece is streamed by one task and never held; the driver has a cut and a highest id for each.
+PIECE_BYTES, LEAST_PIECE_BYTES = 256 << 20, 4 << 20
 
 #: Symbols of fingerprints; a character is one of 256 classes, of which four share a symbol.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
@@ -167,11 +167,16 @@ def search(queries: DataFrame, fps: DataFrame, least: float = 0.8) -> DataFrame:
     """Distinct fingerprints of queries against all of fps (both with a column fingerprint): query, found, likeness of at least `least`.
 
     Candidates share a band. Rows that have a fingerprint are found by a join on
-    it; equal fingerprints are one row here, however many texts have them.
+    it; equal fingerprints are one row here, however many texts have them. An
+    empty fingerprint is like empty ones alone; null fingerprints are left out;
+    no rows on a side give none. Short texts are found like long ones: every
+    length of fingerprint has bands of its own. A crowded band is split by the
+    skew handling of the join, and a pair is verified where it is met, so that
+    only near pairs travel on.
     """
-    sides = [df.select("fingerprint").distinct().mapInArrow(_banded, "fingerprint string, band array<bigint>").select("fingerprint", F.explode("band").alias("band")) for df in (queries, fps)]
-    pairs = sides[0].withColumnRenamed("fingerprint", "query").join(sides[1].withColumnRenamed("fingerprint", "found"), "band").select("query", "found").distinct()
-    return pairs.mapInArrow(_verified, "query string, found string, likeness double").filter(F.col("likeness") >= least)
+    sides = [df.select("fingerprint").filter("fingerprint is not null").distinct().mapInArrow(_banded, "fingerprint string, band array<bigint>").select("fingerprint", F.explode("band").alias("band")) for df in (queries, fps)]
+    pairs = sides[0].withColumnRenamed("fingerprint", "query").join(sides[1].withColumnRenamed("fingerprint", "found"), "band").select("query", "found")
+    return pairs.mapInArrow(_verified, "query string, found string, likeness double").filter(F.col("likeness") >= least).distinct()
 
 
 def _piece(key: Column, cuts: list[int]) -> Column:
@@ -191,9 +196,10 @@ def _ordered(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(MOST_PIECES, int(size // PIECE_BYTES) + 1)
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    rows = rows.withColumn("piece", _piece(F.col("key"), sorted(set(cuts or []))))
+    n = max(int(size // PIECE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism * 4, int(size // LEAST_PIECE_BYTES))) + 1
+    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    rows = rows.withColumn("piece", _piece(F.col("key"), cuts))
     tops = sorted((r["piece"], r["key"]) for r in rows.groupBy("piece").agg(F.max("key").alias("key")).collect())
     after = [(key, tops[(i + 1) % len(tops)][0]) for i, (_, key) in enumerate(tops)]
     small = docs.sparkSession.createDataFrame(after, "key long, before int")
@@ -202,7 +208,8 @@ def _ordered(docs: DataFrame) -> DataFrame:
     lent = F.struct(F.col("before").alias("piece"), F.lit(True).alias("last"))
     rows = rows.select("doc_id", "text", "key", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, lent))).alias("p"))
     rows = rows.select("doc_id", "text", "key", "p.piece", "p.last")
-    return rows.repartition(n, "piece").sortWithinPartitions("piece", "last", F.desc("key"), "text").select("doc_id", "text", "piece", "last")
+    # A partition for each piece, by its number: no two pieces meet in one task.
+    return rows.repartitionById(len(cuts) + 1, "piece").sortWithinPartitions("piece", "last", F.desc("key"), "text").select("doc_id", "text", "piece", "last")
 
 
 class _Text:

@@ -95,3 +95,33 @@ def test_short_near_copies_are_found(spark):
         assert len(near) > 10 and len(got & near) >= 0.9 * len(near), (low, len(near), len(got & near))
     across = {(a, b) for a, b in want if len(a) < 192 <= len(b)}
     assert across and len(got & across) >= 0.9 * len(across)
+
+
+def test_recall_by_length(spark):
+    """One to a few characters changed in texts of 20 to 20,000: recall of pairs of likeness 0.8 or more, for each length."""
+    rng = random.Random(17)
+    rows = []
+    for n in (20, 40, 60, 80, 100, 130, 200, 1000, 5000, 20_000):
+        for i in range(100 if n < 1000 else 20):
+            own = [rng.choice("abcdefghijklmnop ") for _ in range(n)]
+            other = list(own)
+            for _ in range(1 + n // 2000):
+                other[rng.randrange(n)] = rng.choice("qrstuvwxyz")
+            rows.append((n, fingerprint("".join(own)), fingerprint("".join(other))))
+    queries = spark.createDataFrame([(a,) for _, a, _ in rows], "fingerprint string")
+    found = spark.createDataFrame([(b,) for _, _, b in rows], "fingerprint string")
+    got = {(r.query, r.found) for r in search(queries, found).collect()}
+    for n in sorted({n for n, _, _ in rows}):
+        near = {(a, b) for m, a, b in rows if m == n and likeness(a, b) >= 0.8}
+        assert len(near) >= 5 and len(near & got) >= 0.9 * len(near), (n, len(near), len(near & got))
+
+
+def test_search_edges(spark):
+    made = lambda xs: spark.createDataFrame([(x, "k") for x in xs], "fingerprint string, band string")
+    some = made(["", None, "A", "AB", "AB"])
+    assert search(some.limit(0), some).count() == search(some, some.limit(0)).count() == 0
+    assert sorted((r.query, r.found) for r in search(some, some).collect()) == [("", ""), ("A", "A"), ("AB", "AB")]
+    # Many equal bands: one beginning, ends that differ a little.
+    head = fingerprint("the same words at the beginning of every text " * 8)
+    many = made([head[:-6] + f"{i:06d}" for i in range(300)])
+    assert search(many.limit(10), many).count() == 3000
