@@ -1,22 +1,28 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network, trained in numpy.
 
-Each token is predicted from the two before it and the two after it: their
-embeddings, weighted by position, add up, pass a tanh and give the probability
-of a token as that of its class times that within the class, each by a softmax.
-Classes are equal ranges of ids, so of like frequency. The sum of the
-log-probabilities of all tokens, each masked from its own prediction, scores a
-document.
+Each token is predicted from the two before it and the two after it, itself
+masked: their embeddings, weighted by position, add up and pass a tanh; the
+product with a token's vector moves that token's log-probability away from the
+one that its count gives. Training is noise-contrastive: a token against others
+of the corpus, which teaches log-probabilities that add up to one without a sum
+over the vocabulary, so that a step costs the same for any vocabulary. The summed conditional log-probabilities score a document.
 
 The vocabulary holds all tokens of a least count, which grows with the square
-root of the corpus, so that vocabulary and output layer grow with it; rarer
-tokens share buckets, a third as many as there are frequent tokens. Biases start
-from the counts. Every task trains a replica from the same start on all of its
-documents; the replicas are averaged class by class in a distributed sum, each
-token's vectors weighted by how often the replica met it.
+root of the corpus, so that the network grows with it; rarer tokens share
+buckets, a third as many as there are frequent tokens, and a token of a bucket
+has an even share of it among the types that the corpus has there.
+
+Documents are dealt to shards by hash. The number of shards follows from counts
+alone, a shard's documents are ordered by hash and its steps don't follow files
+or batches, so that the network is the same however the table is partitioned.
+Training goes in ROUNDS rounds, each over its part of the shards: every shard
+trains a replica from the same start, and a distributed sum, in the order of the
+shards, averages what the replicas moved, each token by how often it was met.
 """
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,17 +40,20 @@ from foldframe.llm.common import append, column, slices, stable, with_fields
 FREQUENT = 4096
 #: A token of LEAST_COUNT, and of the square root of all tokens over ROOT_SHARE, has an id of its own too.
 LEAST_COUNT, ROOT_SHARE = 10, 225
+#: Of embeddings and vectors; the last of a vector is the token's bias.
 WIDTH = 16
 AROUND = (-2, -1, 1, 2)
-#: Tokens of a training step, and the rate of AdaGrad.
-STEP, RATE = 4096, 0.1
+#: Tokens of a training step and of a block, in which each has the others for noise; the rate of AdaGrad.
+STEP, BLOCK, RATE = 8192, 32, 0.1
+#: Rounds of averaging, and tokens of a shard for each id at least: what a replica sends stays below what it reads.
+ROUNDS, SHARE = 3, 32
+LEAST_SHARD = 1 << 19
 #: A task sends on its token counts when it holds so many distinct ones.
 MOST_COUNTS = 200_000
 
-#: Ids of a class.
-_EACH = 256
-#: The last row of the embeddings.
-_PAD = -1
+_REACH = max(AROUND)
+#: Ids of a piece of the averaged weights.
+_EACH = 1024
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -53,12 +62,19 @@ def tokens(text: str | None) -> list[str]:
 
 
 def size(frequent: int) -> int:
-    """Ids for so many frequent tokens and their buckets, in whole classes."""
-    return -(-(frequent + frequent // 3 + 1) // _EACH) * _EACH
+    """Ids for so many frequent tokens and their buckets."""
+    return frequent + frequent // 3 + 1
 
 
-#: Ids of the smallest corpus that has FREQUENT tokens.
-_VOCABULARY = size(FREQUENT)
+def one_thread() -> None:
+    """A worker has one core: the threads of numpy's matrix library would only wait for each other."""
+    with open("/proc/self/maps") as f:
+        paths = {line.split()[-1] for line in f if "openblas" in line}
+    for path in paths:
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if found := getattr(ctypes.CDLL(path), name, None):
+                found(1)
+                break
 
 
 class Ids(dict):
@@ -83,118 +99,147 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, own), np.int32, len(own))
 
 
+class Vocabulary(NamedTuple):
+    """Frequent tokens, a count for each id (buckets have even shares of what is left), and the types of a bucket on average, 1 at least."""
+
+    frequent: list[str]
+    counts: np.ndarray
+    types: float
+
+    def unigram(self) -> np.ndarray:
+        """Probability of each id."""
+        floored = np.maximum(self.counts, 0.5)
+        return floored / floored.sum()
+
+
 class Network(NamedTuple):
-    """Embeddings (the pad's last), weights of the positions around, vectors and biases of classes, then of ids."""
+    """Embeddings, weights of the positions around, vectors with the bias last. Embeddings and vectors have a last row for the pad."""
 
     inner: np.ndarray
     place: np.ndarray
-    classes: np.ndarray
-    class_bias: np.ndarray
     outer: np.ndarray
-    bias: np.ndarray
 
     @staticmethod
-    def start(counts: np.ndarray | None = None) -> Network:
-        """Before training: biases from the counts of all ids, or even ones for _VOCABULARY ids."""
-        n = _VOCABULARY if counts is None else len(counts)
+    def start(n: int) -> Network:
+        """Before training: every token as probable as its count says, nearly."""
         rng = np.random.Generator(np.random.PCG64(1))
-        draw = lambda *shape: (rng.random(shape) - 0.5).astype(np.float32)
-        by_class = np.ones((n // _EACH, _EACH)) if counts is None else np.maximum(counts, 0.1).reshape(-1, _EACH)
-        of_class = by_class.sum(1)
-        bias = np.log(by_class / of_class[:, None]).ravel().astype(np.float32)
-        return Network(draw(n + 1, WIDTH), np.ones((len(AROUND), WIDTH), np.float32), draw(n // _EACH, WIDTH) * 0.1, np.log(of_class / of_class.sum()).astype(np.float32), draw(n, WIDTH) * 0.1, bias)
-
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.inner[around[:, k]] * self.place[k] for k in range(len(AROUND))))
-
-    def softmaxes(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
-        """Probabilities of all classes and of all ids of each target's class; targets are sorted, and the slices part them by class."""
-        ends = np.searchsorted(target, np.arange(0, len(self.bias) + 1, _EACH))
-        parts = [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        within = np.empty((len(target), _EACH), np.float32)
-        for c, part in enumerate(parts):
-            if part.start == part.stop:
-                continue
-            ids = slice(c * _EACH, (c + 1) * _EACH)
-            within[part] = h[part] @ self.outer[ids].T + self.bias[ids]
-        return _softmax(h @ self.classes.T + self.class_bias), _softmax(within), parts
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def log_probabilities(net: Network, target: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Of each target, given what stands around it."""
-    order = np.argsort(target, kind="stable")
-    own, rows = target[order], np.arange(len(target))
-    of_class, within, _ = net.softmaxes(net.hidden(around[order]), own)
-    out = np.empty(len(target))
-    out[order] = np.log(np.maximum(of_class[rows, own // _EACH], 1e-30)) + np.log(np.maximum(within[rows, own % _EACH], 1e-30))
-    return out
-
-
-def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of some documents, and what stands around each; beyond a document's ends are pads."""
-    reach = max(AROUND)
-    pad = np.full(reach, _PAD, np.int32)
-    line = np.concatenate([pad, *[x for own in ids for x in (own, pad)]])
-    at = np.flatnonzero(line != _PAD)
-    return line[at], np.stack([line[at + k] for k in AROUND], 1)
+        draw = lambda *shape: (rng.random(shape, np.float32) - 0.5)
+        inner, outer = draw(n + 1, WIDTH), draw(n + 1, WIDTH) * 0.1
+        outer[:, -1] = 0
+        return Network(inner, np.ones((len(AROUND), WIDTH), np.float32), outer)
+
+    @property
+    def pad(self) -> int:
+        return len(self.inner) - 1
+
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """From the embeddings of a line, REACH more at both ends, what is seen around each place; the last is 1, for the bias."""
+        n = len(x) - 2 * _REACH
+        h = x[:n] * self.place[0]
+        for k, off in enumerate(AROUND[1:], 1):
+            h += x[_REACH + off : _REACH + off + n] * self.place[k]
+        np.tanh(h, out=h)
+        h[:, -1] = 1
+        return h
 
 
 class Trainer:
-    """AdaGrad on the mean log-loss of steps of STEP tokens."""
+    """AdaGrad on the noise-contrastive loss of steps of a line.
+
+    The tokens of a step lie in blocks of BLOCK, a block's tokens far apart. What
+    stands around each is held against its own token and, as noise, against the
+    others of its block, which come by their counts since they are of the corpus.
+    """
 
     def __init__(self, net: Network) -> None:
         self.net = Network(*(x.copy() for x in net))
-        self.squares = [np.full(x.shape, 1e-10 if i in (0, 4, 5) else 1e-6, np.float32) for i, x in enumerate(net)]
-
-    def learn(self, target: np.ndarray, around: np.ndarray) -> None:
-        net, n, rows = self.net, len(target), np.arange(len(target))
-        order = np.argsort(target, kind="stable")
-        own, near = target[order], around[order]
-        h = net.hidden(near)
-        of_class, within, parts = net.softmaxes(h, own)
-        of_class[rows, own // _EACH] -= 1
-        within[rows, own % _EACH] -= 1
-        of_class /= n
-        within /= n
-        back = of_class @ net.classes
-        moves = [(1, slice(None), None), (2, slice(None), of_class.T @ h), (3, slice(None), of_class.sum(0))]
-        for c, part in enumerate(parts):
-            if part.start == part.stop:
-                continue
-            ids = slice(c * _EACH, (c + 1) * _EACH)
-            back[part] += within[part] @ net.outer[ids]
-            moves += [(4, ids, within[part].T @ h[part]), (5, ids, within[part].sum(0))]
-        back *= 1 - h * h
-        moves[0] = (1, slice(None), np.stack([(back * net.inner[near[:, k]]).sum(0) for k in range(len(AROUND))]))
-        flat = near.T.ravel()
-        spread = np.concatenate([back * net.place[k] for k in range(len(AROUND))])
-        by_id = np.argsort(flat, kind="stable")
-        flat = flat[by_id]
-        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        moves.append((0, flat[first], np.add.reduceat(spread[by_id], first, axis=0)))
-        for i, at, g in moves:
-            s = self.squares[i][at] + g * g
-            self.squares[i][at] = s
-            net[i][at] -= RATE * g / np.sqrt(s)
-
-
-def log_likelihoods(ids: list[np.ndarray], net: Network) -> np.ndarray:
-    """Summed log-probability of each document's tokens."""
-    target, around = windows(ids)
-    log = np.empty(len(target))
+        self.squares = [np.full(x.shape, 1e-10, np.float32) for x in net]
+
+    def gradients(self, line: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Of the loss of the tokens of line but REACH at both ends, a multiple of BLOCK: (ids, rows) of embeddings, places, (ids, rows) of vectors."""
+        net, target = self.net, line[_REACH:-_REACH]
+        n = len(target)
+        blocks = lambda x: x.reshape(BLOCK, n // BLOCK, *x.shape[1:]).swapaxes(0, 1)
+        x = net.inner[line]
+        h, vectors = np.ascontiguousarray(blocks(net.hidden(x))), np.ascontiguousarray(blocks(net.outer[target]))
+        # Of each pair: how likely it is a token and what stands around it, not noise.
+        g = h @ -vectors.swapaxes(1, 2)
+        np.exp(np.minimum(g, 60, out=g), out=g)
+        g *= BLOCK - 1
+        g += 1
+        np.reciprocal(g, out=g)
+        at = np.arange(BLOCK)
+        g[:, at, at] -= 1
+        known = np.ascontiguousarray(blocks(target != net.pad))
+        some = np.flatnonzero(~known.all(1))
+        g[some] *= known[some, :, None] & known[some, None, :]
+        back = g @ vectors
+        back *= 1 - h * h  # the last of h is 1, so that nothing goes back from the bias
+        rows = (g.swapaxes(1, 2) @ h).swapaxes(0, 1).reshape(n, WIDTH)
+        moved = back.swapaxes(0, 1).reshape(n, WIDTH)
+        spread, places = np.zeros_like(x), np.empty_like(net.place)
+        for k, off in enumerate(AROUND):
+            part = slice(_REACH + off, _REACH + off + n)
+            spread[part] += moved * net.place[k]
+            places[k] = np.einsum("ij,ij->j", moved, x[part])
+        return (line, spread), places, (target, rows)
+
+    def learn(self, line: np.ndarray) -> None:
+        short = (2 * _REACH - len(line)) % BLOCK
+        if short:
+            line = np.concatenate((line, np.full(short, self.net.pad, np.int32)))
+        inner, places, outer = self.gradients(line)
+        self._move(1, slice(None), places)
+        for i, (ids, rows) in ((0, inner), (2, outer)):
+            order = np.argsort(ids.astype(np.uint16) if self.net.pad < 1 << 16 else ids, kind="stable")
+            ids = ids[order]
+            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            self._move(i, ids[first], np.add.reduceat(rows[order], first, axis=0))
+
+    def _move(self, part: int, at: np.ndarray | slice, g: np.ndarray) -> None:
+        s = self.squares[part][at] + g * g
+        self.squares[part][at] = s
+        np.sqrt(s, out=s)
+        np.divide(g, s, out=s)
+        s *= RATE
+        self.net[part][at] -= s
+
+
+def lined(ids: list[np.ndarray], pad: int) -> np.ndarray:
+    """Documents one after the other; pads, REACH of them, stand before and after each."""
+    gap = np.full(_REACH, pad, np.int32)
+    return np.concatenate([gap, *[x for own in ids for x in (own, gap)]])
+
+
+def contrasts(net: Network, line: np.ndarray) -> np.ndarray:
+    """How much the network moves each token's log-probability from that of its count, for the tokens of line but REACH at both ends; 0 for pads."""
+    target, out = line[_REACH:-_REACH], []
     for at in range(0, len(target), STEP):
-        part = slice(at, at + STEP)
-        log[part] = log_probabilities(net, target[part], around[part])
-    ends = np.cumsum([len(x) for x in ids])
-    sums = np.concatenate(([0.0], np.cumsum(log)))
-    return sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
+        own = target[at : at + STEP]
+        h = net.hidden(net.inner[line[at : at + len(own) + 2 * _REACH]])
+        out.append(np.where(own == net.pad, 0, np.einsum("ij,ij->i", h, net.outer[own])))
+    return np.concatenate(out) if out else np.empty(0)
+
+
+class Model(NamedTuple):
+    vocabulary: Vocabulary
+    net: Network
+
+    def unigrams(self) -> np.ndarray:
+        """Log-probability of each id by its count, in a bucket of one of its types; 0 for the pad."""
+        log = np.log(self.vocabulary.unigram())
+        log[len(self.vocabulary.frequent) :] -= np.log(self.vocabulary.types)
+        return np.append(log, 0.0)
+
+
+def log_likelihoods(ids: list[np.ndarray], net: Network, unigrams: np.ndarray) -> np.ndarray:
+    """Summed log-probability of each document's tokens."""
+    line = lined(ids, net.pad)
+    log = contrasts(net, line) + unigrams[line[_REACH:-_REACH]]
+    sums = np.concatenate(([0.0], np.cumsum(log, dtype=np.float64)))
+    sizes = np.array([len(x) for x in ids])
+    first = np.concatenate(([0], np.cumsum(sizes + _REACH)[:-1]))
+    return sums[first + sizes] - sums[first]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +259,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent()
 
 
-class Vocabulary(NamedTuple):
-    """Frequent tokens, and a count for each id; buckets have like shares of what is left."""
-
-    frequent: list[str]
-    counts: np.ndarray
-
-
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """All tokens of a least count by the corpus's size, and the FREQUENT most frequent in any case; of equal ones the first by name."""
     counts = stable(docs.select("text").mapInArrow(_count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total = total or 0
     least = max(LEAST_COUNT, round(total**0.5 / ROOT_SHARE))
     rows = counts.filter(F.col("n") >= least).collect()
     if len(rows) < FREQUENT:
@@ -232,139 +271,176 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     rows.sort(key=lambda r: (-r["n"], r["token"]))
     own = np.array([r["n"] for r in rows], np.float64)
     rare = size(len(rows)) - len(rows)
-    return Vocabulary([r["token"] for r in rows], np.concatenate((own, np.full(rare, (total - own.sum()) / rare))))
+    return Vocabulary([r["token"] for r in rows], np.concatenate((own, np.full(rare, (total - own.sum()) / rare))), max(1.0, (types - len(rows)) / rare))
 
 
-def _kind(n: int) -> type:
-    """The type of an encoded id of n."""
-    return np.uint16 if n <= 1 << 16 else np.uint32
+def _packed(ids: np.ndarray) -> bytes:
+    """Three bytes an id."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<i4").ravel()
 
 
 def _encoder(frequent, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, kind = Ids(frequent.value), _kind(size(len(frequent.value)))
+        ids = Ids(frequent.value)
         for batch in slices(batches):
-            own = [ids.of(t).astype(kind).tobytes() for t in column(batch, "text").to_pylist()]
-            yield append(batch, keep, ids=pa.array(own, pa.binary()))
+            yield append(batch, keep, ids=pa.array([_packed(ids.of(t)) for t in column(batch, "text").to_pylist()], pa.binary()))
 
     return run
 
 
-def encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
-    """The columns of docs but text, and ids: two or four bytes for each token, kept in the shared folder since training and scoring both read it."""
+def _encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("text", "ids")]
-    return stable(docs.select(*keep, "text").mapInArrow(_encoder(docs.sparkSession.sparkContext.broadcast(frequent), keep), with_fields(docs.select(*keep).schema, "ids binary")))
+    return docs.select(*keep, "text").mapInArrow(_encoder(docs.sparkSession.sparkContext.broadcast(frequent), keep), with_fields(docs.select(*keep).schema, "ids binary"))
+
+
+def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [_unpacked(x) for x in column(batch, "ids").to_pylist()]
 
 
-def _ids(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    return [np.frombuffer(x, _kind(n)).astype(np.int32) for x in column(batch, "ids").to_pylist()]
+def shards(words: Vocabulary) -> int:
+    """How many, by the vocabulary and the corpus alone."""
+    return int(words.counts.sum() // max(LEAST_SHARD, SHARE * len(words.counts))) + 1
 
 
-def _of_class(c: int) -> slice:
-    return slice(c * _EACH, (c + 1) * _EACH)
+def dealt(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """The columns of docs but text, and ids, shard, nth; kept in the shared folder, since training and scoring both read it.
 
+    Shards and the order in them follow from the hash of a row's id and tokens.
+    Rows alike in both stand in one shard, one after the other: it is streamed,
+    and no task holds it.
+    """
+    n = shards(words)
+    rows = _encoded(docs, words.frequent)
+    key = F.xxhash64("doc_id", "ids") if "doc_id" in docs.columns else F.xxhash64("ids")
+    rows = rows.withColumn("nth", key).withColumn("shard", F.pmod("nth", F.lit(n)).cast("int"))
+    return stable(rows.repartitionById(n, "shard").sortWithinPartitions("nth"))
 
-def _shared(net: Network) -> np.ndarray:
-    """What belongs to no token: the pad's embedding, positions, classes."""
-    return np.concatenate([net.inner[_PAD], net.place.ravel(), net.classes.ravel(), net.class_bias])
 
+_SENT = "piece int, shard int, ids binary, met binary, moved binary"
 
-def _rows(net: Network, c: int) -> np.ndarray:
-    """The tokens of a class, a row each: embedding, vector, bias."""
-    return np.concatenate([net.inner[:_PAD][_of_class(c)], net.outer[_of_class(c)], net.bias[_of_class(c), None]], 1)
 
+def _replica(state):
+    """Rows of whole shards, each in its order -> what its replica moved: a row for each piece of the ids that it met, and one (piece -1) for places."""
 
-def _replica(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(counts.value)
-        trainer, met = Trainer(Network.start(counts.value)), np.zeros(n)
+        one_thread()
+        shard, trainer, line, met = -1, None, None, None
         for batch in slices(batches, "ids", 1 << 20):
-            target, around = windows(_ids(batch, n))
-            for at in range(0, len(target), STEP):
-                trainer.learn(target[at : at + STEP], around[at : at + STEP])
-            met += np.bincount(target, minlength=n)
-        if not met.any():
+            if trainer is None:
+                shard = column(batch, "shard")[0].as_py()
+                trainer, met = Trainer(state.value), np.zeros(state.value.pad + 1)
+                line = np.full(_REACH, trainer.net.pad, np.int32)
+            line = np.concatenate((line, lined(_ids(batch), trainer.net.pad)[_REACH:]))
+            while len(line) >= STEP + 2 * _REACH:
+                part = line[: STEP + 2 * _REACH]
+                trainer.learn(part)
+                met += np.bincount(part[_REACH:-_REACH], minlength=len(met))
+                line = line[STEP:]
+        if trainer is None:
             return
-        yield _sent(-1, _shared(trainer.net), met.sum(keepdims=True))
-        for c in np.flatnonzero(met.reshape(-1, _EACH).any(1)).tolist():
-            yield _sent(c, _rows(trainer.net, c), met[_of_class(c)])
+        own = line[_REACH:-_REACH]
+        if (own != trainer.net.pad).any():
+            trainer.learn(line)
+            met += np.bincount(own, minlength=len(met))
+        met[-1] = met[:-1].sum()  # the pad stands beside every document
+        if not met[-1]:
+            return
+        net, was = trainer.net, state.value
+        yield _sent(-1, shard, np.zeros(1), met[-1:], (net.place - was.place).reshape(1, -1))
+        for piece in range(0, len(met), _EACH):
+            ids = piece + np.flatnonzero(met[piece : piece + _EACH])
+            if len(ids):
+                yield _sent(piece // _EACH, shard, ids, met[ids], np.concatenate((net.inner[ids] - was.inner[ids], net.outer[ids] - was.outer[ids]), 1))
 
     return run
 
 
-def _sent(c: int, values: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([values.astype(np.float32).tobytes()]), pa.array([met.astype(np.float64).tobytes()])], names=["class", "weights", "met"])
+def _sent(piece: int, shard: int, ids: np.ndarray, met: np.ndarray, moved: np.ndarray) -> pa.RecordBatch:
+    """Moves travel in half precision: they are small against the weights."""
+    values = [pa.array([piece], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in ((ids, np.int32), (met, np.float64), (moved, np.float16)))]
+    return pa.RecordBatch.from_arrays(values, names=["piece", "shard", "ids", "met", "moved"])
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weights of replicas -> one row for each class: their mean by how often each row was met."""
-    sums: dict[int, list[np.ndarray]] = {}
+    """Rows ordered by piece and shard -> one row for each piece: the mean move by how often each id was met."""
+    now, moved, met = None, np.empty((0, 0)), np.empty(0)
+
+    def done() -> pa.RecordBatch:
+        ids = np.flatnonzero(met)
+        return _sent(now, 0, ids + max(now, 0) * _EACH, met[ids], moved[ids] / met[ids, None])
+
     for batch in batches:
-        for c, weights, met in zip(*(column(batch, k).to_pylist() for k in ("class", "weights", "met")), strict=True):
-            n = np.frombuffer(met, np.float64)
-            part = np.frombuffer(weights, np.float32).reshape(len(n), -1) * n[:, None]
-            if c in sums:
-                sums[c][0] += part
-                sums[c][1] += n
+        for row in batch.to_pylist():
+            ids, n = np.frombuffer(row["ids"], np.int32) - max(row["piece"], 0) * _EACH, np.frombuffer(row["met"], np.float64)
+            part = np.frombuffer(row["moved"], np.float16).astype(np.float64).reshape(len(n), -1)
+            if row["piece"] != now:
+                if now is not None:
+                    yield done()
+                now, moved, met = row["piece"], np.zeros((_EACH, part.shape[1])), np.zeros(_EACH)
+            moved[ids] += part * n[:, None]
+            met[ids] += n
+    if now is not None:
+        yield done()
+
+
+def train(rows: DataFrame, words: Vocabulary) -> Network:
+    """The network from every token of rows (shard, ids, in order). The driver gets one mean move for each weight and round."""
+    n, spark = len(words.counts), rows.sparkSession
+    net = Network.start(n)
+    rounds = min(ROUNDS, shards(words))
+    for k in range(rounds):
+        state = spark.sparkContext.broadcast(net)
+        sent = rows.filter(F.pmod("shard", F.lit(rounds)) == k).select("shard", "ids").mapInArrow(_replica(state), _SENT)
+        means = sent.repartition(min(n // _EACH + 2, 200), "piece").sortWithinPartitions("piece", "shard").mapInArrow(_averaged, _SENT).collect()
+        net = Network(*(x.copy() for x in net))
+        for r in means:
+            ids, moved = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["moved"], np.float16).astype(np.float32)
+            if r["piece"] < 0:
+                net.place[...] += moved.reshape(net.place.shape)
             else:
-                sums[c] = [part, n.copy()]
-    for c, (part, n) in sums.items():
-        yield _sent(c, part / np.maximum(n, 1)[:, None], n)
-
-
-def train(ids: DataFrame, counts: np.ndarray) -> Network:
-    """The network from every token of ids. The driver gets one mean for each weight. What no document holds is as at the start."""
-    net = Network.start(counts)
-    sent = ids.sparkSession.sparkContext.broadcast(counts)
-    schema = "class int, weights binary, met binary"
-    for r in ids.select("ids").mapInArrow(_replica(sent), schema).repartition(min(len(net.classes), 200), "class").mapInArrow(_averaged, schema).collect():
-        c, values = r["class"], np.frombuffer(r["weights"], np.float32)
-        if c < 0:
-            ends = np.cumsum([WIDTH, net.place.size, net.classes.size])
-            for x, part in zip((net.inner[_PAD], net.place, net.classes, net.class_bias), np.split(values, ends), strict=True):
-                x[...] = part.reshape(x.shape)
-        else:
-            met = np.flatnonzero(np.frombuffer(r["met"], np.float64))
-            part, at = values.reshape(_EACH, -1)[met], c * _EACH + met
-            net.inner[at], net.outer[at], net.bias[at] = part[:, :WIDTH], part[:, WIDTH : 2 * WIDTH], part[:, -1]
+                moved = moved.reshape(len(ids), -1)
+                net.inner[ids] += moved[:, :WIDTH]
+                net.outer[ids] += moved[:, WIDTH:]
     return net
 
 
-class Model(NamedTuple):
-    frequent: list[str]
-    net: Network
-
-
 def fit(docs: DataFrame) -> Model:
     """Vocabulary and network from every token of docs."""
-    frequent, counts = vocabulary(docs)
-    return Model(frequent, train(encoded(docs.select("text"), frequent), counts))
+    words = vocabulary(docs)
+    return Model(words, train(dealt(docs.select(*[c for c in docs.columns if c in ("doc_id", "text")]), words), words))
 
 
-def _scorer(net, keep: list[str]):
+def _scorer(net, unigrams, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids", 1 << 20):
-            own = _ids(batch, len(net.value.bias))
-            yield append(batch, keep, n_tokens=pa.array([len(x) for x in own], pa.int64()), log_likelihood=pa.array(log_likelihoods(own, net.value)))
+            own = _ids(batch)
+            yield append(batch, keep, n_tokens=pa.array([len(x) for x in own], pa.int64()), log_likelihood=pa.array(log_likelihoods(own, net.value, unigrams.value)))
 
     return run
 
 
-def _scores(ids: DataFrame, net: Network) -> DataFrame:
+def _scores(ids: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in ids.columns if c not in ("ids", "n_tokens", "log_likelihood")]
-    sent = ids.sparkSession.sparkContext.broadcast(net)
-    return ids.select(*keep, "ids").mapInArrow(_scorer(sent, keep), with_fields(ids.select(*keep).schema, "n_tokens bigint, log_likelihood double"))
+    context = ids.sparkSession.sparkContext
+    run = _scorer(context.broadcast(model.net), context.broadcast(model.unigrams()), keep)
+    return ids.select(*keep, "ids").mapInArrow(run, with_fields(ids.select(*keep).schema, "n_tokens bigint, log_likelihood double"))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs but text, n_tokens and log_likelihood (natural logarithm, 0 without tokens); columns of these names, and one named ids, are replaced. Rows stay as they are."""
-    return _scores(encoded(docs, model.frequent), model.net)
+    return _scores(_encoded(docs, model.vocabulary.frequent), model)
 
 
 def op2_lm_scoring(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, and its mean by token (null without tokens), a row for each document."""
     own = docs.select("doc_id", "text")
-    frequent, counts = vocabulary(own)
-    ids = encoded(own, frequent)
-    out = _scores(ids, train(ids, counts))
+    words = vocabulary(own)
+    rows = dealt(own, words)
+    out = _scores(rows.select("doc_id", "ids"), Model(words, train(rows, words)))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("per_token"))
