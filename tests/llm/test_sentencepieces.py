@@ -67,7 +67,7 @@ def _trie(pairs):
                 build(base ^ c, prefix + bytes([c]))
 
     build(0, b"")
-    size = max(units) + 257
+    size = -(-(max(units) + 257) // 256) * 256  # the library wants whole blocks
     array = b"".join(units.get(i, 0x7F).to_bytes(4, "little") for i in range(size))
     return len(array).to_bytes(4, "little") + array + text
 
@@ -101,3 +101,53 @@ def test_edges(spark):
     assert sorted(((r.doc_id, r.decoded) for r in back), key=str) == sorted(((d, t or "") for d, t in rows), key=str)
     assert {r.n_tokens for r in back if r.doc_id in (1, 2)} == {1}
     assert encode(docs.limit(0), PATH).count() == 0
+
+
+def _with_map(tmp_path, **flags):
+    """The model with a character map, and the library over it."""
+    from sentencepiece import sentencepiece_model_pb2 as model_pb2
+
+    pairs = [("Ａ".encode(), b"A"), ("ﬁ".encode(), b"fi"), (b"ab", b"x"), (b"abc", b"yz"), ("e\u0301".encode(), "é".encode()), (b"\t", b" "), ("\u3000".encode(), b" "), ("…".encode(), b". . ."), (b"qq", b"")]
+    proto = model_pb2.ModelProto()
+    with open(PATH, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.precompiled_charsmap = _trie(pairs)
+    for name, value in flags.items():
+        setattr(proto.normalizer_spec, name, value)
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    return path
+
+
+@pytest.mark.parametrize("flags", [{}, {"remove_extra_whitespaces": True}, {"remove_extra_whitespaces": True, "add_dummy_prefix": False}, {"add_dummy_prefix": False}])
+def test_model_with_a_map(tmp_path, flags):
+    """Ids through the own normaliser are the library's, and spans give the original text back."""
+    import sentencepiece
+
+    path = _with_map(tmp_path, **flags)
+    own, library = Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    for _ in range(4000):
+        text = "".join(rng.choice(["Ａ", "ﬁ", "a", "b", "c", "e\u0301", "e", "\t", " ", "  ", "\u3000", "…", "q", "qq", "日", "😀", "x", "▁", "\n"]) for _ in range(rng.randint(0, 14)))
+        ids, at = own.encoded([text])[0]
+        assert ids.tolist() == library.encode(text, add_eos=True), (text, flags)
+        data = text.encode()
+        assert at[-1] == len(data) and (np.diff(at) >= 0).all()
+        normal, source = own.normalise(text)
+        assert own.spans(text, ids).tolist() == at.tolist() and len(source) == len(normal) + 1
+        # What is copied unchanged stands in the piece's span.
+        for piece, a, b in zip(ids.tolist(), at.tolist(), at.tolist()[1:], strict=False):
+            if library.id_to_piece(piece) in ("日", "x") and b > a:
+                assert library.id_to_piece(piece).encode() in data[a:b] or b"ab" in data[a:b]
+
+
+def test_bytes_have_places_of_their_own(model):
+    text = "a\U0001fae8b"
+    ids, at = model.encoded([text])[0]
+    spans = [text.encode()[a:b] for a, b in zip(at, at[1:], strict=False)]
+    assert b"".join(spans) == text.encode() and sum(len(x) == 1 for x in spans) >= 4
+
+
+def test_ids_of_another_text(model):
+    assert model.spans("abc", np.array(model.encode(["quite another text"])[0], np.int32)) is None
