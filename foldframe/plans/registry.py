@@ -406,10 +406,11 @@ _RING_ROWS = ", ".join(f"('{res}', {grp}, {i}, '{name}', {len(names)})" for (res
 _CATION_ROWS = ", ".join(f"('{res}', {i}, '{name}', {len(names)})" for res, names in L.CATION_GROUPS.items() for i, name in enumerate(names))
 _CONTACTS = f"""
 , greasy AS (SELECT DISTINCT structure_id, residue_key FROM atm WHERE residue_name IN {_names(L.HYDROPHOBIC)} AND name NOT IN ('N', 'CA', 'C', 'O', 'OXT') AND element IN ('C', 'S')),
-at1 AS (SELECT atm.*, g.residue_key IS NOT NULL AS gr, name IN {_names(L.DONORS)} AND element IN ('N', 'O', 'S') AS dn, name IN {_names(L.ACCEPTORS)} AND element IN ('N', 'O', 'S') AS ac,
+at1 AS MATERIALIZED (SELECT atm.*, CAST(floor(x / 4.5) AS BIGINT) AS cell, g.residue_key IS NOT NULL AS gr, name IN {_names(L.DONORS)} AND element IN ('N', 'O', 'S') AS dn, name IN {_names(L.ACCEPTORS)} AND element IN ('N', 'O', 'S') AS ac,
   residue_name IN {_names(L.CATIONIC)} AS ct, residue_name IN {_names(L.ACIDIC)} AS acid FROM atm LEFT JOIN greasy g USING (structure_id, residue_key)),
+at2 AS (SELECT at1.* EXCLUDE (cell), cell + d AS cell FROM at1, (VALUES (-1), (0), (1)) s(d)),
 hp0 AS (SELECT a.structure_id, a.residue_key AS residue_a, b.residue_key AS residue_b, a.name AS atom_a, b.name AS atom_b, a.atom_ord AS oa, b.atom_ord AS ob, {_DIST} AS distance, (a.dn AND b.ac) OR (b.dn AND a.ac) AS da, a.gr AND b.gr AS gg,
-  (a.ct AND b.acid) OR (a.acid AND b.ct) AS br FROM at1 a JOIN at1 b ON a.structure_id = b.structure_id AND a.residue_ord < b.residue_ord AND abs(a.x - b.x) <= 4.5 AND abs(a.y - b.y) <= 4.5),
+  (a.ct AND b.acid) OR (a.acid AND b.ct) AS br FROM at1 a JOIN at2 b ON a.structure_id = b.structure_id AND a.cell = b.cell AND a.residue_ord < b.residue_ord AND abs(a.x - b.x) <= 4.5 AND abs(a.y - b.y) <= 4.5),
 hp1 AS (SELECT *, CASE WHEN da AND distance <= 3.5 THEN 'hbond_geometric' WHEN gg AND distance <= 4.5 THEN 'hydrophobic' END AS kind, br AND distance <= 4.0 AS bridge FROM hp0),
 hp2 AS (SELECT *, row_number() OVER (PARTITION BY structure_id, residue_a, residue_b ORDER BY CASE WHEN kind IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN kind IS NOT NULL THEN oa END, CASE WHEN kind IS NOT NULL THEN ob END, distance, oa, ob) AS rn FROM hp1 WHERE kind IS NOT NULL OR bridge),
 heavyc AS (SELECT structure_id, coalesce(kind, 'salt_bridge') AS type, residue_a, residue_b, atom_a, atom_b, distance, CAST(NULL AS DOUBLE) AS angle, CAST(NULL AS VARCHAR) AS external_id, 'heavy_atom_geometry' AS evidence_mode FROM hp2 WHERE rn = 1),
@@ -434,7 +435,7 @@ cps AS (SELECT structure_id, 'cation_pi' AS type, CASE WHEN co < ro THEN ck ELSE
   QUALIFY row_number() OVER (PARTITION BY structure_id, rk, ck ORDER BY distance, least(full_, 180 - full_), grp) = 1),
 mts AS (SELECT a.structure_id, 'metal_contact' AS type, a.residue_key AS residue_a, b.residue_key AS residue_b, a.name AS atom_a, b.name AS atom_b, {_DIST} AS distance, CAST(NULL AS DOUBLE) AS angle, a.name AS external_id, 'heavy_atom_geometry' AS evidence_mode
   FROM atm a JOIN atm b ON a.structure_id = b.structure_id AND a.residue_key <> b.residue_key WHERE a.element IN {_names(L.METALS)} AND {_DIST} <= 3.0 QUALIFY row_number() OVER (PARTITION BY a.structure_id, a.residue_key, a.atom_ord, b.residue_key ORDER BY b.atom_ord) = 1),
-contacts AS (SELECT * FROM heavyc UNION ALL SELECT * FROM pis UNION ALL SELECT * FROM cps UNION ALL SELECT * FROM mts)
+contacts AS MATERIALIZED (SELECT * FROM heavyc UNION ALL SELECT * FROM pis UNION ALL SELECT * FROM cps UNION ALL SELECT * FROM mts)
 """
 _CONTACT_COLUMNS = f"structure_id, type, residue_a, residue_b, atom_a, atom_b, {_q('distance', 'angle')}, external_id, evidence_mode"
 
@@ -471,7 +472,7 @@ def _mapping(a: Analysis) -> DataFrame:
 
 
 _DIFF = f"""{_CONTACTS}
-, dm AS (SELECT pair_id, reference_id, target_id, 'A:' || rnum AS position, reference_key, target_key FROM cor WHERE mapped),
+, dm AS MATERIALIZED (SELECT pair_id, reference_id, target_id, 'A:' || rnum AS position, reference_key, target_key FROM cor WHERE mapped),
 dr AS (SELECT p.pair_id, c.type, a.position AS pa, b.position AS pb, c.external_id, c.distance, c.residue_a, c.residue_b, c.atom_a, c.atom_b FROM prs p JOIN contacts c ON c.structure_id = p.reference_id
   LEFT JOIN dm a ON a.pair_id = p.pair_id AND a.reference_key = c.residue_a LEFT JOIN dm b ON b.pair_id = p.pair_id AND b.reference_key = c.residue_b),
 dt AS (SELECT p.pair_id, c.type, a.position AS pa, b.position AS pb, c.external_id, c.distance, c.residue_a, c.residue_b, c.atom_a, c.atom_b FROM prs p JOIN contacts c ON c.structure_id = p.target_id
