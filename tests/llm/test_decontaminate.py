@@ -45,3 +45,30 @@ def test_edges(spark, monkeypatch):
     assert decontaminated(docs, bench).columns == docs.columns
     assert decontaminated(docs, bench.limit(0)).count() == 7
     assert op4_benchmark_decontamination(docs.limit(0), bench).count() == 0
+
+
+def test_whole_table_beyond_one_automaton(spark, monkeypatch):
+    """Both forms give the same rows over the whole tables, with few bits too; the large one has a single Python stage over documents."""
+    from tests.conftest import SF
+
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda: sorted(map(tuple, op4_benchmark_decontamination(docs, bench).collect()))
+    want = rows()
+    assert sum(r[2] > 0 for r in want) > 10
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 1000)
+    assert rows() == want
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 12)
+    assert rows() == want
+
+
+def test_large_benchmark(spark):
+    """Several MB of items: a window of each is found where it's planted."""
+    import random
+
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(300))) for i in range(3000)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"before it {' '.join(t.split()[40:52]).upper()} and after" if i % 2 else f"nothing of {i}") for i, t in items[:400]], "doc_id bigint, text string")
+    assert sum(len(t) for _, t in items) > 10 * decontaminate.AUTOMATON_BYTES
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in op4_benchmark_decontamination(docs, bench).collect()}
+    assert got == {i: (12, 1, True) if i % 2 else (0, 0, False) for i in range(400)}
