@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from foldframe.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir as the session names it.
-
-    Only where the setting is absent (tests on one machine) a temporary folder
-    is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    found = found or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+__all__ = ["append", "column", "packed", "shared_dir", "slices", "stable", "table", "unpacked", "with_fields"]
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -68,3 +57,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def append(batch: pa.RecordBatch, keep: list[str], **more: pa.Array) -> pa.RecordBatch:
     """Columns keep of the batch, then more."""
     return pa.RecordBatch.from_arrays([column(batch, k) for k in keep] + list(more.values()), names=keep + list(more))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Three bytes for each number below 2^24."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<i4").ravel()

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldframe.llm.common import append, column, slices, stable, with_fields
+from foldframe.llm.common import append, column, packed, slices, stable, unpacked, with_fields
 
 #: The most frequent tokens that have an id of their own in a corpus of any size.
 FREQUENT = 4096
@@ -274,22 +274,11 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary([r["token"] for r in rows], np.concatenate((own, np.full(rare, (total - own.sum()) / rare))), max(1.0, (types - len(rows)) / rare))
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """Three bytes an id."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return out.view("<i4").ravel()
-
-
 def _encoder(frequent, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(frequent.value)
         for batch in slices(batches):
-            yield append(batch, keep, ids=pa.array([_packed(ids.of(t)) for t in column(batch, "text").to_pylist()], pa.binary()))
+            yield append(batch, keep, ids=pa.array([packed(ids.of(t)) for t in column(batch, "text").to_pylist()], pa.binary()))
 
     return run
 
@@ -300,7 +289,7 @@ def _encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [_unpacked(x) for x in column(batch, "ids").to_pylist()]
+    return [unpacked(x) for x in column(batch, "ids").to_pylist()]
 
 
 def shards(words: Vocabulary) -> int:

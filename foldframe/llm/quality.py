@@ -180,9 +180,10 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """EM over the vote patterns of all documents (3^8 counts reach the driver at most), then the scorer from at most `sample` of them.
+    """EM over the vote patterns of all documents (3^8 counts reach the driver at most), then the scorer from at most `sample` of them, in one task.
 
-    An empty table gives a scorer that calls every text good with 0.5.
+    An empty table gives a scorer that calls every text good with 0.5. The
+    driver gets the weights, not features.
     """
     found = docs.select("text").mapInArrow(_vote, "pattern int").groupBy("pattern").count().collect()
     if not found:
@@ -190,11 +191,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     labels = estimate(_patterns(np.array([r["pattern"] for r in found])), np.array([r["count"] for r in found], float))
     # Distinct by hash: copies would else fill the sample.
     chosen = docs.select(F.xxhash64(F.lit(7), "text").alias("h")).distinct().orderBy("h").limit(sample)
-    texts = docs.select(F.xxhash64(F.lit(7), "text").alias("h"), "text").join(F.broadcast(chosen), "h")
-    rows = texts.mapInArrow(_featurise, "h bigint, pattern int, at binary, x binary").dropDuplicates(["h"]).collect()
-    rows = sorted(rows, key=lambda r: r["h"])
-    goods = labels.posterior(_patterns(np.array([r["pattern"] for r in rows]))) if rows else []
-    return Model(labels, train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), float(y)) for r, y in zip(rows, goods, strict=True)]))
+    texts = docs.select(F.xxhash64(F.lit(7), "text").alias("h"), "text").join(F.broadcast(chosen), "h").dropDuplicates(["h"])
+    rows = texts.mapInArrow(_featurise, "h bigint, pattern int, at binary, x binary").repartition(1).sortWithinPartitions("h")
+    weights = rows.mapInArrow(_trained(docs.sparkSession.sparkContext.broadcast(labels)), "weights binary").collect()
+    return Model(labels, np.frombuffer(weights[0][0]))
+
+
+def _trained(labels):
+    """All rows in one order -> the weights. A row has at most BUCKETS features, so that the task holds at most 12 bytes for each of those and each row of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, patterns = [], []
+        for batch in batches:
+            patterns += column(batch, "pattern").to_pylist()
+            rows += [(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32)) for at, x in zip(column(batch, "at").to_pylist(), column(batch, "x").to_pylist(), strict=True)]
+        if rows:
+            goods = labels.value.posterior(_patterns(np.array(patterns)))
+            yield pa.RecordBatch.from_arrays([pa.array([train([(at, x, float(y)) for (at, x), y in zip(rows, goods, strict=True)]).tobytes()], pa.binary())], names=["weights"])
+
+    return run
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

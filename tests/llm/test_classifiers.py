@@ -55,3 +55,36 @@ def test_edges(spark):
     assert quality.op6_quality_classifier(docs).count() == len(rows)
     assert quality.op6_quality_classifier(docs.limit(0)).count() == 0
     assert quality.kept(docs).columns == docs.columns
+
+
+def test_scores_do_not_follow_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for query in (lambda d: toxicity.op7_toxicity(d, labels), quality.op6_quality_classifier):
+        few, many = ({r.doc_id: r.score for r in query(docs.repartition(n)).collect()} for n in (2, 9))
+        assert few == many and len(few) == docs.count() and len(set(few.values())) > 100
+
+
+def test_state_goes_on():
+    """A learner taken up from its state learns on as if it had never stopped."""
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, 1 << 20, 50)), int(rng.random() < 0.3)) for _ in range(200)]
+    whole, parts = toxicity.Learner(), toxicity.Learner()
+    for at, y in rows:
+        whole.learn(at, y)
+        parts = toxicity.Learner.of_state(parts.state())
+        parts.learn(at, y)
+    a, b = whole.model(), parts.model()
+    assert (a.at == b.at).all() and (a.weights == b.weights).all() and a.bias == b.bias
+
+
+def test_edge_scores(spark):
+    """Null and empty texts score alike, as do repeated rows; a word learned as toxic is scored above one learned as clean."""
+    rows = [(i, "vile words here" if i % 2 else "kind words here") for i in range(400)] + [(1000, None), (1001, ""), (1002, "vile words here"), (1002, "vile words here"), (1003, "kind words here"), (None, "vile")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    got = [(r.doc_id, r.score) for r in toxicity.op7_toxicity(docs, labels).collect() if r.doc_id is None or r.doc_id >= 1000]
+    by = dict(got)
+    assert len(got) == 6 and by[1000] == by[1001] and len({s for d, s in got if d == 1002}) == 1
+    assert by[1002] > 0.7 > 0.3 > by[1003] and all(0 <= s <= 1 for _, s in got)
+    scores = {r.doc_id: r.score for r in quality.op6_quality_classifier(docs).collect()}
+    assert scores[1000] == scores[1001] and all(0 <= s <= 1 for s in scores.values())

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from foldframe.llm import pseudolikelihood as lm
+from foldframe.llm.common import packed, unpacked
 
 SF = "/root/testdata/sf0.01"
 
@@ -105,7 +106,7 @@ def test_training_of_the_whole_table(spark, monkeypatch):
     dealt = lm.dealt(docs, words)
     shards = {}
     for r in sorted(dealt.collect(), key=lambda r: (r.shard, r.nth)):
-        shards.setdefault(r.shard, []).append(lm._unpacked(r.ids))
+        shards.setdefault(r.shard, []).append(unpacked(r.ids))
     assert len(shards) == lm.shards(words) and max(sum(map(len, x)) for x in shards.values()) < 200_000
     got, want = lm.train(dealt, words), _plain_trained(shards, words)
     own = [x for s in shards.values() for x in s]
@@ -184,7 +185,7 @@ def test_rare_words_differ(spark):
 
 def test_packed():
     ids = np.array([0, 1, 65_535, 65_536, (1 << 24) - 1], np.int32)
-    assert (lm._unpacked(lm._packed(ids)) == ids).all() and len(lm._unpacked(b"")) == 0
+    assert (unpacked(packed(ids)) == ids).all() and len(unpacked(b"")) == 0
 
 
 def test_hash_order_is_the_tables(spark):
