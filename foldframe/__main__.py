@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from foldframe.plans import reports
 from foldframe.plans.engine import Analysis
 from foldframe.sources import sinks, structures
 
@@ -37,7 +38,9 @@ def compare(spark: SparkSession, reference: str, target: str, mode: str = "auto"
     chains, residues, atoms = (a.unionByName(b) for a, b in zip(*sides, strict=True))
     places = residues.join(atoms.filter("name = 'CA'").select("residue_key", "x", "y", "z"), "residue_key", "left")
     pairs = spark.createDataFrame([("pair", *ids)], "pair_id string, reference_id string, target_id string")
-    return Analysis.of_sequences(pairs, chains, places, atoms)
+    # Two files: what is read and aligned is kept for all that is asked of it.
+    a = Analysis.of_sequences(pairs, chains, places.cache(), atoms.cache())
+    return Analysis(a.alignments.cache(), a.residues, a.atoms)
 
 
 def main(args: list[str] | None = None) -> int:
@@ -62,9 +65,10 @@ def main(args: list[str] | None = None) -> int:
             ("Strict Cα RMSD", length(s["strict_rmsd"])), ("Refined Cα RMSD", length(s["refined_rmsd"])), ("Mapped residues", s["mapped_count"]), ("Mutations", s["mutation_count"]), ("Alignment", s["decision"]),
         ):
             print(f"{name}: {value}")
-        rows = sinks.residue_sheet(a.moved())
+        sheets = reports.pair_sheets(a, refined=True)
+        rows = sheets["Residues"]
         if said.output:
-            sinks.write_workbook({"Summary": summary, "Residues": rows, "Mutations": a.mutations()}, said.output)
+            sinks.write_workbook(sheets, said.output)
         if said.csv:
             sinks.write_csv(rows, said.csv)
         if said.json:

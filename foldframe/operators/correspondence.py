@@ -129,13 +129,14 @@ def from_report(rows: DataFrame) -> DataFrame:
     return explode_alignments(rows).withColumns({"status": F.when(F.col("status").isin("insertion", "deletion"), F.col("status")).otherwise(same), "mapping_source": F.lit("structure")})
 
 
-def validate(rows: DataFrame, outlier_cutoff: float = 2.0) -> DataFrame:
-    """Adds is_duplicate (a residue that stands in several unlocked rows of its pair) and is_outlier (ca_displacement beyond the cutoff, false if unknown)."""
+def validate(rows: DataFrame, outlier_cutoff: float = 2.0, strict: bool = False) -> DataFrame:
+    """Adds is_duplicate (a residue that stands in several unlocked rows of its pair; strict: an error) and is_outlier (ca_displacement beyond the cutoff, false if unknown)."""
     locked = F.coalesce(F.col("mapping_locked"), F.lit(False)) if "mapping_locked" in rows.columns else F.lit(False)
     twice = lambda key: F.col(key).isNotNull() & ~locked & (F.count_if(~locked).over(Window.partitionBy("pair_id", key)) > 1)
-    return rows.withColumns(
+    out = rows.withColumns(
         {"is_duplicate": twice("reference_key") | twice("target_key"), "is_outlier": F.coalesce(F.col("ca_displacement") > outlier_cutoff, F.lit(False))}
     )
+    return out.filter(F.assert_true(~F.col("is_duplicate"), F.concat(F.lit("a residue stands twice in pair "), F.col("pair_id"))).isNull()) if strict else out
 
 
 #: Predicates of correspondence rows by name.

@@ -208,6 +208,11 @@ def compare(contacts: DataFrame, mapping: DataFrame, keep_unmapped_reference: bo
     return out.select("pair_id", "type", "pos_a", "pos_b", "external_id", change.alias("change"), "reference_distance", "target_distance")
 
 
+def ordered(differences: DataFrame) -> DataFrame:
+    """By pair, type, ends and external id, those that are null last: the order of a report."""
+    return differences.orderBy("pair_id", "type", F.asc_nulls_last("pos_a"), F.asc_nulls_last("pos_b"), F.asc_nulls_last("external_id"))
+
+
 def fingerprint(differences: DataFrame, members: DataFrame) -> DataFrame:
     """Counts by site, pair and type of the differences that touch a site's positions (members: site_id, pair_id, position)."""
     ends = differences.withColumn("position", F.explode(F.array_distinct(F.filter(F.array("pos_a", "pos_b"), lambda p: p.isNotNull()))))

@@ -114,8 +114,8 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = [(F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"]
     chain = own.join(F.broadcast(template), "residue_name").select("structure_id", "residue_key", "residue_ord", "residue_name", "atom_ord", "name", "element", *moved)
     extra = [("LIG", "C1", "C", 100, 10, 0.5, 0.5, 0.5), ("ZN", "ZN", "ZN", 101, 3, 1.6, 0.9, 0.6)]
-    hetero = positions(spark, sf_dir).select("structure_id", "i", "x", "y", "z").crossJoin(F.broadcast(spark.createDataFrame(extra, "residue_name string, name string, element string, residue_ord int, at int, dx double, dy double, dz double")))
-    hetero = hetero.filter("i = at").select("structure_id", F.concat_ws("/", "structure_id", "residue_name").alias("residue_key"), "residue_ord", "residue_name", F.lit(0).alias("atom_ord"), "name", "element", *moved)
+    added = spark.createDataFrame(extra, "residue_name string, name string, element string, residue_ord int, i int, dx double, dy double, dz double")
+    hetero = positions(spark, sf_dir).select("structure_id", "i", "x", "y", "z").join(F.broadcast(added), "i").select("structure_id", F.concat_ws("/", "structure_id", "residue_name").alias("residue_key"), "residue_ord", "residue_name", F.lit(0).alias("atom_ord"), "name", "element", *moved)
     return chain.unionByName(hetero)
 
 

@@ -124,8 +124,11 @@ def sequence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(correspondence.sequence_metrics(_analysis(spark, sf_dir).correspondence()))
 
 
-@query("""SELECT pair_id, mode AS mapping_mode, CASE WHEN mode = 'sequence' THEN 'sequence-guided (AUTO: identity=' || i || ' >= 0.300, coverage=' || c || ' >= 0.700)' ELSE 'structure-guided (AUTO: identity=' || i || ' or coverage=' || c || ' below thresholds)' END AS decision
-FROM (SELECT *, CASE WHEN identity >= 0.30 AND coverage >= 0.70 THEN 'sequence' ELSE 'structure' END AS mode, format('{:.3f}', identity) AS i, format('{:.3f}', coverage) AS c FROM met)""")
+_DECISION = """SELECT pair_id, mode AS mapping_mode, CASE WHEN mode = 'sequence' THEN 'sequence-guided (AUTO: identity=' || i || ' >= 0.300, coverage=' || c || ' >= 0.700)' ELSE 'structure-guided (AUTO: identity=' || i || ' or coverage=' || c || ' below thresholds)' END AS decision
+FROM (SELECT *, CASE WHEN identity >= 0.30 AND coverage >= 0.70 THEN 'sequence' ELSE 'structure' END AS mode, format('{:.3f}', identity) AS i, format('{:.3f}', coverage) AS c FROM met)"""
+
+
+@query(_DECISION)
 def auto_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correspondence.decision(correspondence.sequence_metrics(_analysis(spark, sf_dir).correspondence())).select("pair_id", "mapping_mode", "decision")
 
@@ -180,7 +183,7 @@ def ca_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SWAPS = ", ".join(f"('{res}', '{a}', '{b}')" for res, t in L.SWAPS.items() for x, y in t.items() for a, b in ((x, y), (y, x)))
 
 
-@query(f"""
+_RESIDUE_RMSD_TABLES = f"""
 , swp(residue_name, name, other) AS (VALUES {_SWAPS}),
 heavy AS (SELECT * FROM atm WHERE NOT regexp_replace(name, '^[0-9]+', '') LIKE 'H%'),
 ra AS (SELECT pair_id, alignment_index, name, residue_name, x, y, z FROM cor JOIN heavy ON residue_key = reference_key WHERE mapped),
@@ -189,12 +192,15 @@ one AS (SELECT coalesce(ra.pair_id, ta.pair_id) AS pair_id, coalesce(ra.alignmen
   power(ra.x - ta.x, 2) + power(ra.y - ta.y, 2) + power(ra.z - ta.z, 2) AS same, coalesce(power(ra.x - o.x, 2) + power(ra.y - o.y, 2) + power(ra.z - o.z, 2), power(ra.x - ta.x, 2) + power(ra.y - ta.y, 2) + power(ra.z - ta.z, 2)) AS traded,
   swp.other IS NOT NULL AS swaps, coalesce(ra.name, ta.name) IN ('N', 'CA', 'C', 'O') AS bb
   FROM ra FULL JOIN ta ON ra.pair_id = ta.pair_id AND ra.alignment_index = ta.alignment_index AND ra.name = ta.name LEFT JOIN swp ON swp.residue_name = ra.residue_name AND swp.name = ra.name
-  LEFT JOIN ta o ON o.pair_id = ra.pair_id AND o.alignment_index = ra.alignment_index AND o.name = swp.other)
-SELECT pair_id, alignment_index, {_q(
+  LEFT JOIN ta o ON o.pair_id = ra.pair_id AND o.alignment_index = ra.alignment_index AND o.name = swp.other)"""
+_RESIDUE_RMSD = f"""SELECT pair_id, alignment_index, {_q(
     "CASE WHEN count(*) FILTER (bb AND both_) = 4 THEN sqrt(avg(same) FILTER (bb)) END AS backbone_rmsd",
     "CASE WHEN bool_and(both_ OR bb) AND count(*) FILTER (NOT bb) > 0 THEN least(sqrt(avg(same) FILTER (NOT bb)), CASE WHEN bool_or(swaps) THEN sqrt(avg(traded) FILTER (NOT bb)) END) END AS sidechain_rmsd",
     "CASE WHEN bool_and(both_) THEN least(sqrt(avg(same)), CASE WHEN bool_or(swaps) THEN sqrt(avg(traded)) END) END AS all_heavy_rmsd",
-)} FROM one GROUP BY pair_id, alignment_index""")
+)} FROM one GROUP BY pair_id, alignment_index"""
+
+
+@query(f"{_RESIDUE_RMSD_TABLES} {_RESIDUE_RMSD}")
 def residue_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _analysis(spark, sf_dir)
     return _rounded(superposition.residue_rmsd(a.correspondence(), a.atoms, a.transforms()))
@@ -206,12 +212,12 @@ def refined_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUMMARY = f"""SELECT met.pair_id, met.reference_id, met.target_id, {_q('identity', 'similarity', 'coverage', 'target_coverage', 'strict_rmsd')}, aligned_count, n AS mapped_count, mutation_count, insertion_count, deletion_count, conserved_count,
-  CASE WHEN identity >= 0.30 AND coverage >= 0.70 THEN 'sequence' ELSE 'structure' END AS mapping_mode FROM met LEFT JOIN rot USING (pair_id) LEFT JOIN ({_COUNTS}) USING (pair_id)"""
+  mapping_mode, decision FROM met LEFT JOIN rot USING (pair_id) LEFT JOIN ({_COUNTS}) USING (pair_id) JOIN ({_DECISION}) USING (pair_id)"""
 
 
 @query(_SUMMARY)
 def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_analysis(spark, sf_dir).summary().drop("decision", "refined_rmsd", "refined_count", "tm_score"))
+    return _rounded(_analysis(spark, sf_dir).summary().drop("refined_rmsd", "refined_count", "tm_score"))
 
 
 @query(f"SELECT target_id, quadrant, {_q('identity', 'strict_rmsd')} FROM (SELECT *, CASE WHEN identity >= 0.5 THEN 'similar' ELSE 'diverged' END || '_sequence_' || CASE WHEN strict_rmsd <= 2.0 THEN 'similar' ELSE 'diverged' END || '_structure' AS quadrant FROM met JOIN rot USING (pair_id))")

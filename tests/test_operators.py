@@ -193,3 +193,23 @@ def test_whole_analysis_of_a_moved_copy(spark):
     assert s.strict_rmsd < 1e-9 and s.refined_rmsd < 1e-9
     empty = Analysis.of_sequences(pairs, chains, df.withColumns({c: F.lit(None).cast("double") for c in "xyz"})).summary(refined=True).first()
     assert empty.strict_rmsd is None and empty.refined_rmsd is None and empty.mapped_count == 0 and empty.identity == 1.0
+
+
+def test_strict_validation_and_missing_chain(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from foldframe.operators import correspondence, interactions
+    from foldframe.sources import structures
+
+    rows = spark.createDataFrame([("p", "r1", "t1", 0.5), ("p", "r1", "t2", 3.0)], "pair_id string, reference_key string, target_key string, ca_displacement double")
+    assert correspondence.validate(rows).count() == 2
+    with pytest.raises(PySparkException, match="stands twice"):
+        correspondence.validate(rows, strict=True).collect()
+    assert correspondence.validate(rows.filter("target_key = 't1'"), strict=True).count() == 1
+    chains = spark.createDataFrame([("s", "0", "A", 0, 3), ("u", "0", "B", 0, 2)], "structure_id string, model_id string, chain_id string, chain_ord int, residue_count int")
+    with pytest.raises(PySparkException, match="no chain A in u"):
+        structures.select_chain(chains, "A").collect()
+    assert structures.select_chain(chains.filter("structure_id = 's'"), "A").count() == 1
+    made = spark.createDataFrame([("p", "b", "x", "y", None), ("p", "a", None, None, "z"), ("p", "a", "q", None, None), ("p", "a", "q", "r", None)], "pair_id string, type string, pos_a string, pos_b string, external_id string")
+    assert [(r.type, r.pos_a, r.pos_b) for r in interactions.ordered(made).collect()] == [("a", "q", "r"), ("a", "q", None), ("a", None, None), ("b", "x", "y")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from foldframe.plans import files  # noqa: F401  adds its queries
+from foldframe.plans import files, reports  # noqa: F401  add their queries
 from foldframe.plans.registry import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 
