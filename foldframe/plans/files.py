@@ -11,8 +11,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldframe.operators import correspondence, msa
-from foldframe.plans import derived
+from foldframe.operators import charts, correspondence, msa
+from foldframe.plans import derived, registry
 from foldframe.plans.registry import _analysis, _q, _r, _rounded, _structures, query
 from foldframe.sources import sequences, sinks, structures
 from foldframe.sources.shared import shared_dir, write_files
@@ -279,3 +279,92 @@ def stream_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _folder(spark, sf_dir, f"streamed-{uuid.uuid4().hex}")
     append_residues(spark, folder, f"{out}/rows", f"{out}/progress").awaitTermination()
     return spark.read.parquet(f"{out}/rows").drop("batch", "line")
+
+
+# ---- Small files of the driver, chart sheets, validation, viewers --------------------------------
+
+
+def read_workbook(path: str, sheet: int = 1) -> list[list[str | None]]:
+    """The cells of a sheet of write_workbook, row by row, the header first; blank ones are None."""
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    with zipfile.ZipFile(path) as z:
+        root = ET.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml"))
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    return [["".join(c.itertext()) if len(c) else None for c in row.iter(f"{space}c")] for row in root.iter(f"{space}row")]
+
+
+_FEW = ["pair_id", "identity", "coverage", "strict_rmsd", "mapped_count", "decision"]
+_FEW_SQL = f"SELECT pair_id, identity, coverage, strict_rmsd, mapped_count, decision FROM ({registry._SUMMARY})"
+
+
+def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_analysis(spark, sf_dir).summary().select(*_FEW))
+
+
+@query(_FEW_SQL)
+def sink_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries of all pairs as a workbook, whose cells are read back. A workbook is the driver's and bounded by WORKBOOK_ROWS."""
+    import os
+    import tempfile
+
+    rows = _few(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as folder:
+        sinks.write_workbook({"Summary": rows}, path := os.path.join(folder, "o.xlsx"))
+        head, *cells = read_workbook(path)
+    text = spark.createDataFrame([tuple(r) for r in cells], ", ".join(f"{c} string" for c in head))
+    return text.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
+@query(_FEW_SQL)
+def sink_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a bundle, checked and read back."""
+    import json
+    import os
+    import tempfile
+    import zipfile
+
+    rows = _few(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as folder:
+        sinks.write_bundle({"residues": rows}, path := os.path.join(folder, "o.zip"), "all", "auto", [])
+        sinks.validate_bundle(path)
+        with zipfile.ZipFile(path) as z:
+            found = json.loads(z.read("residues.json"))
+    return spark.createDataFrame([tuple(r[c] for c in _FEW) for r in found], rows.schema)
+
+
+@query(registry.ORACLE_SQL["source_projects"].partition("WITH ")[2].partition(registry._TABLES + "\n")[2])
+def sink_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project documents parsed, written as JSON and parsed again."""
+    texts = _projects(spark, sf_dir)
+    own = sequences.with_key_residue(sequences.parse_projects(texts), "added")
+    folder = _folder(spark, sf_dir, "projects-out")
+    write_files(sinks.as_json(own.drop("path")).select(F.concat(F.get_json_object("value", "$.reference_id"), F.lit(".json")).alias("name"), F.col("value").alias("content")), folder)
+    back = sequences.parse_projects(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    return back.select("reference_id", "version", F.array_join("targets", ",").alias("targets"), F.array_join("key_residues", ",").alias("key_residues"), F.col("settings")["mode"].alias("mode"))
+
+
+@query(registry.ORACLE_SQL["chart_deviation"].partition(registry._TABLES + "\n")[2])
+def sink_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart's long table as a CSV sheet, read back."""
+    rows, folder = _rounded(charts.deviation_profile(_analysis(spark, sf_dir).moved())), _folder(spark, sf_dir, "charts")
+    sinks.write_sheets({"deviation": rows}, folder, "csv")
+    return spark.read.schema(rows.schema).csv(f"{folder}/deviation", header=True)
+
+
+@query("""SELECT pair_id, alignment_index, false AS locked, coalesce(mapped AND ca_displacement > 2.0, false) AS is_outlier, alignment_index = 1 AND (reference_key IS NOT NULL OR target_key IS NOT NULL) AS is_duplicate FROM mov
+UNION ALL SELECT pair_id, 1001, false, coalesce(mapped AND ca_displacement > 2.0, false), reference_key IS NOT NULL OR target_key IS NOT NULL FROM mov WHERE alignment_index = 1
+UNION ALL SELECT pair_id, 1002, true, coalesce(mapped AND ca_displacement > 2.0, false), false FROM mov WHERE alignment_index = 2""")
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of which one stands twice, and one a second time but locked."""
+    rows = _analysis(spark, sf_dir).moved().withColumn("mapping_locked", F.lit(False))
+    again = rows.filter("alignment_index in (1, 2)").withColumns({"mapping_locked": F.col("alignment_index") == 2, "alignment_index": F.col("alignment_index") + 1000})
+    return correspondence.validate(rows.unionByName(again)).select("pair_id", "alignment_index", F.col("mapping_locked").alias("locked"), "is_outlier", "is_duplicate")
+
+
+@query("""SELECT pair_id, alignment_index, lower(regexp_replace(pair_id || ' ' || status, '[^A-Za-z0-9_]+', '_', 'g')) AS name, CASE WHEN reference_key IS NOT NULL THEN 'chain A and resi ' || rnum END AS selection, CASE WHEN reference_key IS NOT NULL THEN 'A:' || rnum ELSE '—' END AS label,
+  CASE status WHEN 'conserved' THEN 'slate' WHEN 'substitution' THEN 'orange' WHEN 'insertion' THEN 'yellow' WHEN 'deletion' THEN 'red' WHEN 'nonstandard' THEN 'magenta' END AS color FROM cor""")
+def viewer_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _analysis(spark, sf_dir).correspondence()
+    return rows.select("pair_id", "alignment_index", charts.selection_name(F.concat("pair_id", F.lit(" "), "status")).alias("name"), charts.residue_selection(F.when(F.col("reference_key").isNotNull(), "A"), F.col("reference_num")).alias("selection"), charts.label("reference").alias("label"), charts.status_color(F.col("status")).alias("color"))
