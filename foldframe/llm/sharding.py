@@ -1,8 +1,12 @@
 """Shards by fixed virtual slots.
 
-A record's slot is the hash of its id and never changes. Which shard holds a
-slot stands in a small map with a version, stored as a table; balancing and
-growing edit the map, so that only the records of edited slots move.
+A record's slot is the hash of its id and text and never changes. Which shard
+holds a slot stands in a small map with a version, stored as a table; balancing
+and growing edit the map, so that only the records of edited slots move.
+
+Records of one text, and records of one id, are spread over slots like any
+others: such a group may hold a third of all rows, more than a shard's share.
+Only rows alike in both stay together.
 """
 
 from __future__ import annotations
@@ -83,15 +87,14 @@ class SlotMap(NamedTuple):
 
 
 def _slot(slots: int) -> Column:
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(1), "text")).otherwise(F.xxhash64("doc_id"))
-    return F.pmod(key, F.lit(slots)).cast("int")
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int")
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, text) -> doc_id, size (UTF-8 bytes and one), text_crc32, vslot.
 
     A null text has size 1 and the checksum of nothing; rows without an id are
-    dealt by their text; repeated rows stay. Further columns are ignored.
+    dealt by their text alone; repeated rows stay. Further columns are ignored.
     """
     data = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
     return docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), _slot(slots).alias("vslot"))

@@ -58,3 +58,39 @@ def test_edges(spark, tmp_path):
     back = {(r.doc_id, r.text): r.shard for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.doc_id, r.text_crc32): r.shard for r in placed(slotted(docs), plan, totals(slotted(docs))[1]).collect()}
     assert {(d, zlib.crc32((t or "").encode())): s for (d, t), s in back.items()} == want
+
+
+def _balanced(sizes, shards):
+    """By falling size, each slot to the lightest shard, found by looking at all."""
+    held, out = [0] * shards, {}
+    for slot in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        to = min(range(shards), key=lambda s: (held[s], s))
+        out[slot] = to
+        held[to] += sizes[slot]
+    return out
+
+
+def test_whole_table_by_a_plain_version(spark):
+    """Shard and slot of every row, from each row's virtual slot alone; that is the hash of id and text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = op10_sharding(docs).collect()
+    hashed = {r.doc_id: r.h % 4096 for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) AS h").collect()}
+    assert all(r.vslot == hashed[r.doc_id] for r in rows)
+    sizes = [0] * 4096
+    for r in rows:
+        sizes[r.vslot] += r["size"]
+    to = _balanced(sizes, 8)
+    places = {}
+    for shard in range(8):
+        own = sorted((r.vslot, r.doc_id, r.text_crc32, r["size"]) for r in rows if to[r.vslot] == shard)
+        places |= {x[1]: (shard, i) for i, x in enumerate(own)}
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == places
+
+
+def test_hot_groups_are_spread(spark):
+    """One id, and one text, with a third of all rows each."""
+    rows = [(7, f"text {i}") for i in range(3000)] + [(i + 10_000, "the same text") for i in range(3000)] + [(i + 20_000, f"own {i}") for i in range(3000)]
+    held = defaultdict(int)
+    for r in op10_sharding(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        held[r.shard] += r["size"]
+    assert max(held.values()) - min(held.values()) <= 0.02 * sum(held.values()) / 8
