@@ -35,13 +35,24 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pages carry no time of capture.
 NO_DATE = "1970-01-01T00:00:00Z"
-_URN = "urn:x-page:"
+_URN, _NO_ID = "urn:x-page:", "urn:x-no-page"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _urn(page: str | None) -> str:
+    """A record's name: the page's id with everything escaped that a header can't hold."""
+    return _NO_ID if page is None else _URN + urllib.parse.quote(page, safe="")
+
+
+def _page(urn: str | None) -> str | None:
+    """The id that _urn was given."""
+    urn = (urn or "").strip("<>")
+    return urllib.parse.unquote(urn.removeprefix(_URN)) if urn.startswith(_URN) else None
+
+
 def record(page: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """The bytes of one record; refers_to makes it a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -49,7 +60,7 @@ def record(page: str | None, url: str | None, payload: bytes, refers_to: str | N
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{_URN}{page or ''}>",
+        f"WARC-Record-ID: <{_urn(page)}>",
         f"WARC-Date: {NO_DATE}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         "Content-Type: application/http; msgtype=response",
@@ -58,7 +69,7 @@ def record(page: str | None, url: str | None, payload: bytes, refers_to: str | N
     if url is not None:
         head.append("WARC-Target-URI: " + urllib.parse.quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{_URN}{refers_to}>"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{_urn(refers_to)}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -151,7 +162,7 @@ def _reader(out_dir: str):
                     kind = head["warc-type"]
                     if kind == "response" and (len(payload) != size or digest(payload) != said):
                         raise ValueError(f"{name}: a payload isn't what its digest says")
-                    page, first = (head[k].strip("<>").removeprefix(_URN) or None if k in head else None for k in ("warc-record-id", "warc-refers-to"))
+                    page, first = _page(head["warc-record-id"]), _page(head.get("warc-refers-to"))
                     rows.append((page, head.get("warc-target-uri"), size, said, kind, first))
                     if len(rows) == 4096:
                         yield _as_batch(rows)
@@ -187,7 +198,7 @@ def write(pages: DataFrame, out_dir: str, least_bytes: int = 0) -> DataFrame:
     """Write (page_id, url, html) as archives into out_dir, which all executors reach; returns (archive, records, bytes), already made.
 
     A null html is an empty payload, a null url leaves the target out, a null
-    page_id an empty record id; repeated rows give repeated records. No rows
+    page_id a record id without one (an empty id stays empty); repeated rows give repeated records. No rows
     give no archive. A task holds one archive in memory.
     """
     rows = typed(pages, least_bytes)

@@ -47,3 +47,12 @@ def test_trained_dictionary(spark, tmp_path):
     df = spark.range(800).selectExpr("id AS page_id", "'http://x/' || id AS url", "'<html><body class=\"page\"><h1>' || id || '</h1>' || repeat('<p>' || md5(cast(id AS string)), 9) AS html")
     out = str(tmp_path / "b")
     assert warc.read(warc.write(df, out), out).selectExpr("sum(payload_bytes)", "count(distinct payload_digest)").first() == df.selectExpr("sum(length(html))", "count(*)").first()
+
+
+def test_ids_that_need_escapes(spark, tmp_path):
+    ids = ["a>b\nc", "", None, "é %41", "<x>", "plain"]
+    df = spark.createDataFrame([(x, "u", f"<p>{i % 3}") for i, x in enumerate(ids)], "page_id string, url string, html string")
+    out = str(tmp_path / "c")
+    rows = warc.read(warc.write(df, out), out).collect()
+    assert sorted(map(str, (r.page for r in rows))) == sorted(map(str, ids))
+    assert {(r.page, r.refers_to) for r in rows if r.record_type == "revisit"} == {("é %41", "a>b\nc"), ("<x>", ""), (None, "plain")}
