@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldframe.llm.common import append, column, shared_dir, slices, stable
@@ -163,8 +163,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Distinct fp -> (src, dst): links within THRESHOLD bits that join all that all such links join."""
-    at = Window.partitionBy("half", "anchor")
-    met = anchors(fps).withColumns({"n": F.count(F.lit(1)).over(at), "homes": F.count_if("home").over(at)}).filter("n > 1 and homes > 0")
+    copied = anchors(fps)
+    # Counted by partial sums and joined back, so that a crowded anchor's rows never stand in one task.
+    crowds = copied.groupBy("half", "anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).filter("n > 1 and homes > 0")
+    met = copied.join(crowds.drop("homes"), ["half", "anchor"])
     met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_home = F.transform(every, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("home")))
