@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldframe.functions.lookups import ACCEPTORS, ACIDIC, CATION_GROUPS, CATIONIC, DONORS, HYDROPHOBIC, METALS, RINGS
-from foldframe.operators.spatial import within
+from foldframe.operators.spatial import pairs_within, within
 
 TYPES = ("hbond_geometric", "salt_bridge", "hydrophobic", "pi_stacking", "cation_pi", "metal_contact")
 COLUMNS = ["structure_id", "type", "residue_a", "residue_b", "atom_a", "atom_b", "distance", "angle", "external_id", "evidence_mode"]
@@ -64,7 +64,7 @@ def heavy_contacts(atoms: DataFrame, limits: Thresholds = Thresholds()) -> DataF
     """
     own = _described(atoms)
     reach = max(limits.hbond, limits.hydrophobic, limits.salt_bridge)
-    near = within(own, own, reach, ["structure_id"]).filter("left_residue_ord < right_residue_ord")
+    near = pairs_within(own, reach, ["structure_id"], "residue_ord")
     bond = (F.col("distance") <= limits.hbond) & ((F.col("left_donor") & F.col("right_acceptor")) | (F.col("right_donor") & F.col("left_acceptor")))
     grease = (F.col("distance") <= limits.hydrophobic) & F.col("left_greasy") & F.col("right_greasy")
     bridge = (F.col("distance") <= limits.salt_bridge) & ((F.col("left_cationic") & F.col("right_acidic")) | (F.col("left_acidic") & F.col("right_cationic")))
@@ -127,7 +127,7 @@ def _angle(ax: list[str], bx: list[Column]) -> Column:
 def pi_stacking(atoms: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """The best pair of rings of each pair of residues: parallel or T-shaped, by distance, then folded angle."""
     own = rings(atoms)
-    near = within(own, own, limits.pi_centroid, ["structure_id"]).filter("left_residue_ord < right_residue_ord")
+    near = pairs_within(own, limits.pi_centroid, ["structure_id"], "residue_ord")
     full = _angle(["left_nx", "left_ny", "left_nz"], [F.col(f"right_n{c}") for c in "xyz"])
     near = near.withColumn("full", full).withColumn("angle", F.least(F.col("full"), 180.0 - F.col("full")))
     fits = near.filter((F.col("angle") <= limits.parallel) | F.col("full").between(limits.t_shape_min, limits.t_shape_max))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldframe.operators import correspondence, mutations, superposition
 from foldframe.operators.alignment import align_pairs
+from foldframe.sources.shared import shared_dir
 
 
 class Analysis:
@@ -28,6 +29,14 @@ class Analysis:
             pairs = pairs.join(own.withColumnsRenamed({"structure_id": f"{side}_id", "sequence": f"{side}_sequence"}), f"{side}_id")
         return Analysis(align_pairs(pairs), residues, atoms)
 
+    def kept(self) -> Analysis:
+        """The same over tables written once to the shared folder, for results that read them many times.
+
+        The files go with the tables where spark.cleaner.referenceTracking.cleanCheckpoints is on.
+        """
+        shared_dir(self.alignments.sparkSession)
+        return Analysis(self.alignments.checkpoint(), self.residues.checkpoint(), None if self.atoms is None else self.atoms.checkpoint())
+
     def correspondence(self) -> DataFrame:
         return correspondence.with_residues(correspondence.explode_alignments(self.alignments), self.residues)
 

@@ -217,7 +217,7 @@ _SUMMARY = f"""SELECT met.pair_id, met.reference_id, met.target_id, {_q('identit
 
 @query(_SUMMARY)
 def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_analysis(spark, sf_dir).summary().drop("refined_rmsd", "refined_count", "tm_score"))
+    return _rounded(_analysis(spark, sf_dir).kept().summary().drop("refined_rmsd", "refined_count", "tm_score"))
 
 
 @query(f"SELECT target_id, quadrant, {_q('identity', 'strict_rmsd')} FROM (SELECT *, CASE WHEN identity >= 0.5 THEN 'similar' ELSE 'diverged' END || '_sequence_' || CASE WHEN strict_rmsd <= 2.0 THEN 'similar' ELSE 'diverged' END || '_structure' AS quadrant FROM met JOIN rot USING (pair_id))")
@@ -493,7 +493,7 @@ diff AS (SELECT pair_id, type, pos_a, pos_b, nullif(e, '') AS external_id, CASE
 
 @query(f"{_DIFF} SELECT pair_id, type, pos_a, pos_b, external_id, change, {_q('reference_distance', 'target_distance')} FROM diff")
 def interaction_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _analysis(spark, sf_dir)
+    a = _analysis(spark, sf_dir).kept()
     return _rounded(interactions.compare(interactions.detect(a.atoms), _mapping(a)))
 
 
@@ -572,7 +572,7 @@ td AS (SELECT DISTINCT site_id, d.pair_id, type, pos_a, pos_b, external_id, chan
 SELECT site_id, pair_id, type, count(*) FILTER (change IN ('conserved', 'lost')) AS reference_count, count(*) FILTER (change IN ('conserved', 'gained')) AS target_count, count(*) FILTER (change = 'conserved') AS conserved_count,
   count(*) FILTER (change = 'gained') AS gained_count, count(*) FILTER (change = 'lost') AS lost_count FROM td GROUP BY ALL""")
 def interaction_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _analysis(spark, sf_dir)
+    a = _analysis(spark, sf_dir).kept()
     mapping = _mapping(a)
     members = _around(spark, sf_dir, "radius").select("site_id", F.col("residue_key").alias("reference_key")).join(mapping.select("pair_id", "reference_key", "position"), "reference_key")
     return interactions.fingerprint(interactions.compare(interactions.detect(a.atoms), mapping), members.select("site_id", "pair_id", "position"))
