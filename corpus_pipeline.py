@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and where each starts in the original bytes."""
+    """Token ids, and where each starts in the original bytes. Of the documents' own columns only doc_id goes on."""
     return encode(docs, public_tokenizers.path(SENTENCEPIECE_MODEL))
 
 
