@@ -78,3 +78,26 @@ def test_stages_against_brute_force(spark):
         assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
         # Spans give the text back, piece by piece.
         assert b"".join(data[a:b] for a, b in zip(r.starts, r.starts[1:], strict=False)) == data
+
+
+def test_edges_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, null, empty and repeated texts, and an empty table, through run()."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
+    one = docs.filter(F.col("doc_id") == min(known)).first()
+    kind = "doc_id bigint, text string"
+    other = " ".join(f"{a} {b}" for a, b in zip(one.text.split()[::2], one.text.split()[1::2][::-1], strict=False))
+    extra = spark.createDataFrame([(None, None), (900_001, None), (900_002, ""), (900_003, " \n"), (one.doc_id, one.text), (None, other)], kind)
+    rows = docs.unionByName(extra.withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes if c not in extra.columns}).select(docs.columns))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    rows.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        for folder in (tmp_path, tmp_path / "none"):
+            spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(folder / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = [r.doc_id for r in out.collect()]
+    assert len([d for d in ids if d is not None]) == len({d for d in ids if d is not None})
+    assert not {900_001, 900_002, 900_003} & set(ids) and ids.count(None) <= 1
+    assert len(known - set(ids)) <= 2
+    assert out.columns == corpus_pipeline.run(spark, SF).columns
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
