@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldframe.llm.common import append, column, packed, slices, stable, unpacked, with_fields
+from foldframe.llm.common import append, column, packed, slices, unpacked, with_fields
 
 BUCKET_BITS = 20
 #: At most so many labelled documents, the least by hash of their id, train the model.
@@ -112,18 +112,6 @@ class Learner:
         at = np.flatnonzero(np.abs(self.z) > L1).astype(np.int32)
         return Model(at, self.weights(at).astype(np.float32), self.bias())
 
-    def state(self) -> list[bytes]:
-        """What has been learnt: buckets that were met, their sums, the bias's sums."""
-        at = np.flatnonzero(self.n)
-        return [x.tobytes() for x in (at.astype(np.int32), self.z[at], self.n[at], np.array([self.bias_z, self.bias_n]))]
-
-    @staticmethod
-    def of_state(state: list[bytes]) -> Learner:
-        out, at = Learner(), np.frombuffer(state[0], np.int32)
-        out.z[at], out.n[at] = np.frombuffer(state[1]), np.frombuffer(state[2])
-        out.bias_z, out.bias_n = np.frombuffer(state[3]).tolist()
-        return out
-
 
 def score(text: str | None, dense: np.ndarray, bias: float) -> float:
     at = buckets(text)
@@ -141,43 +129,33 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield append(batch, ["h", "doc_id", "toxic"], features=pa.array([packed(np.unique(buckets(t))) for t in column(batch, "text").to_pylist()], pa.binary()))
 
 
-_STATE = "met binary, z binary, n binary, bias binary"
-
-
-def _epoch(state):
-    """All rows in their order, once -> the learner's state after them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner.of_state(state.value)
-        for batch in slices(batches, "features"):
-            for data, label in zip(column(batch, "features").to_pylist(), column(batch, "toxic").to_pylist(), strict=True):
-                learner.learn(unpacked(data), int(label))
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in learner.state()], names=["met", "z", "n", "bias"])
-
-    return run
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of all epochs, in their order -> the model, one row. No row is held."""
+    learner = Learner()
+    for batch in slices(batches, "features"):
+        for data, label in zip(column(batch, "features").to_pylist(), column(batch, "toxic").to_pylist(), strict=True):
+            learner.learn(unpacked(data), int(label))
+    at, weights, bias = learner.model()
+    yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary()), pa.array([float(bias)])], names=["at", "weights", "bias"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from docs with a 0/1 label that are not held out; several labels of an id count as the highest.
 
     Without any such row it scores every text 0.5 and rejects it only if the
-    caller's threshold says so. Features are hashed where the texts are and kept
-    in the shared folder in one order, whatever the partitions; one task streams
-    them to the learner in each epoch. The driver gets the learner's sums, 20
-    bytes for each of at most 2^BUCKET_BITS buckets.
+    caller's threshold says so. Features are hashed where the texts are; one
+    task puts them in one order, whatever the partitions, and streams them to
+    the learner, once for each epoch. The driver gets the weights that aren't
+    zero, of at most 2^BUCKET_BITS.
     """
     known = labels.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "toxic", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(_featurised, f"h bigint, doc_id {kind}, toxic int, features binary")
-    rows = stable(rows.repartition(1).sortWithinPartitions("h", "doc_id", "features"))
-    state = Learner().state()
-    for _ in range(EPOCHS):
-        sent = docs.sparkSession.sparkContext.broadcast(state)
-        found = rows.select("toxic", "features").mapInArrow(_epoch(sent), _STATE).collect()
-        state = [bytes(x) for x in found[0]] if found else state
-    return Learner.of_state(state).model()
+    rows = rows.mapInArrow(_featurised, f"h bigint, doc_id {kind}, toxic int, features binary").repartition(1)
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))).sortWithinPartitions("epoch", "h", "doc_id", "features")
+    found = rows.select("toxic", "features").mapInArrow(_trained, "at binary, weights binary, bias double").first()
+    return Model(np.frombuffer(found["at"], np.int32), np.frombuffer(found["weights"], np.float32), found["bias"]) if found else Learner().model()
 
 
 def _scorer(model, keep: list[str]):

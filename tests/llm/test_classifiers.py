@@ -64,19 +64,6 @@ def test_scores_do_not_follow_partitions(spark):
         assert few == many and len(few) == docs.count() and len(set(few.values())) > 100
 
 
-def test_state_goes_on():
-    """A learner taken up from its state learns on as if it had never stopped."""
-    rng = np.random.default_rng(1)
-    rows = [(np.unique(rng.integers(0, 1 << 20, 50)), int(rng.random() < 0.3)) for _ in range(200)]
-    whole, parts = toxicity.Learner(), toxicity.Learner()
-    for at, y in rows:
-        whole.learn(at, y)
-        parts = toxicity.Learner.of_state(parts.state())
-        parts.learn(at, y)
-    a, b = whole.model(), parts.model()
-    assert (a.at == b.at).all() and (a.weights == b.weights).all() and a.bias == b.bias
-
-
 def test_edge_scores(spark):
     """Null and empty texts score alike, as do repeated rows; a word learned as toxic is scored above one learned as clean."""
     rows = [(i, "vile words here" if i % 2 else "kind words here") for i in range(400)] + [(1000, None), (1001, ""), (1002, "vile words here"), (1002, "vile words here"), (1003, "kind words here"), (None, "vile")]
