@@ -28,5 +28,6 @@ def cards(keys: DataFrame, sequence: DataFrame | None = None, structure: DataFra
     n = F.size("available_sections")
     out = out.withColumn("available_sections", there).withColumn("unavailable_sections", missing)
     out = out.withColumns({"source_count": n, "overall_status": F.when(n == len(SECTIONS), "available").when(n > 0, "partial").otherwise("unavailable"), "schema_version": F.lit(SCHEMA_VERSION)})
+    # The wording of a card.
     said = F.format_string("Reference %s · target %s · evidence %s", F.coalesce("reference_name", F.lit("unknown")), F.coalesce("target_id", F.lit("unavailable")), "overall_status")
     return out.withColumn("text", said)

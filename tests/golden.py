@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The pinned example, whose results must match.
 #: Backbone start and side-chain atom of each residue; N, CA, C, O follow at fixed steps.
 REFERENCE = [("LYS", -1.2, 0.0, 0.0, ("NZ", 1.4, 0.4, 1.1)), ("ASP", 2.6, 0.0, 0.0, ("OD1", 2.9, 0.9, -1.2)), ("SER", 6.4, 1.1, 0.6, ("OG", 7.6, 1.4, 2.0)), ("GLY", 10.2, 0.0, 1.3, None), ("ALA", 14.0, 0.5, 0.0, ("CB", 15.2, 1.5, 1.4)), ("PHE", 17.8, 0.0, 0.0, ("CZ", 19.0, 3.0, 0.9))]
 TARGET = [("LYS", -1.2, 0.0, 0.5, ("NZ", 1.4, 0.4, 1.6)), ("ASP", 2.6, 0.0, 0.5, ("OD1", 2.9, 0.9, -0.7)), ("VAL", 6.4, 1.1, 1.1, ("CB", 7.6, 1.4, 2.5)), ("GLY", 10.2, 0.0, 1.8, None), ("ALA", 14.0, 1.7, 0.5, ("CB", 15.2, 2.7, 1.9))]

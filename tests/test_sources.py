@@ -14,12 +14,12 @@ from foldframe.streaming.structures import append_residues
 from tests.golden import LIGAND, REFERENCE, pdb
 
 ALTERNATES = """\
-ATOM      1  N   ALA A 100      10.000  10.000  10.000  1.00 20.00           N
-ATOM      2  CA AALA A 100      11.000  10.000  10.000  0.30 20.00           C
-ATOM      3  CA BALA A 100      12.000  10.000  10.000  0.70 20.00           C
-ATOM      4  CA  GLY A 100A     14.000  10.000  10.000  1.00 20.00           C
-HETATM    5  CA  MSE A 101      15.000  10.000  10.000  1.00 20.00          SE
-HETATM    6  O   HOH A 102      15.000  10.000  10.000  1.00 20.00           O
+ATOM      1  N   ALA A  57      -3.500   4.250   8.125  1.00 31.50           N
+ATOM      2  CA AALA A  57      -2.750   3.500   7.000  0.45 31.50           C
+ATOM      3  CA BALA A  57      -2.250   3.750   6.500  0.55 31.50           C
+ATOM      4  CA  GLY A  57A      1.500   2.500   5.750  1.00 31.50           C
+HETATM    5  CA  MSE A  58       4.875   1.250   4.500  1.00 31.50          SE
+HETATM    6  O   HOH A  59       9.000  -6.500   0.750  1.00 31.50           O
 END
 """
 FIELDS = "group_PDB id type_symbol label_atom_id label_alt_id label_comp_id label_asym_id label_seq_id pdbx_PDB_ins_code Cartn_x Cartn_y Cartn_z occupancy auth_seq_id auth_asym_id pdbx_PDB_model_num"
@@ -37,8 +37,8 @@ def test_pdb(spark, tmp_path):
     for name in ("one", "Two"):
         own = raw.filter(F.col("structure_id") == name)
         got = [(r.auth_seq_id, r.insertion_code, r.residue_name, r.one_letter, r.residue_ord) for r in structures.residues(own).orderBy("residue_ord").collect()]
-        assert got == [("100", None, "ALA", "A", 0), ("100", "A", "GLY", "G", 1), ("101", None, "MSE", None, 2)]
-        assert [(r.x, r.altloc) for r in structures.atoms(own).filter("name = 'CA' and residue_ord = 0").collect()] == [(12.0, "B")]
+        assert got == [("57", None, "ALA", "A", 0), ("57", "A", "GLY", "G", 1), ("58", None, "MSE", None, 2)]
+        assert [(r.x, r.altloc) for r in structures.atoms(own).filter("name = 'CA' and residue_ord = 0").collect()] == [(-2.25, "B")]
         assert structures.chains(structures.residues(own)).first().sequence == "AGX"
     (tmp_path / "bad.txt").write_text("x")
     with pytest.raises(Exception, match="not a structure file"):
@@ -68,10 +68,10 @@ def test_fasta(spark, tmp_path):
 
 
 def test_report(spark):
-    text = "US-align (Version 20240101)\nName of Structure_1: a.pdb\nName of Structure_2: b.pdb\nTM-score= 0.90000 (by 1)\nTM-score= 0.85000 (by 2)\nAC-D\n:: :\nATGD\n i t u\n 0      1.0     1.0     0.0     0.0\n 1      2.0     0.0     1.0     0.0\n 2      3.0     0.0     0.0     1.0\n"
+    text = "US-align (Version 20230607)\nName of Structure_1: a.pdb\nName of Structure_2: b.pdb\nTM-score= 0.73120 (by 1)\nTM-score= 0.66040 (by 2)\nMK-W\n:. :\nMRLW\n i t u\n 0      4.5     0.0    -1.0     0.0\n 1     -0.5     1.0     0.0     0.0\n 2      2.25    0.0     0.0     1.0\n"
     r = sequences.parse_report(spark.createDataFrame([("p", text), ("q", "nothing")], "path string, content string")).orderBy("path").collect()
-    assert (r[0].version, r[0].name_1, r[0].name_2, r[0].tm_score, r[0].aligned_reference, r[0].aligned_target) == ("20240101", "a.pdb", "b.pdb", 0.9, "AC-D", "ATGD")
-    assert r[0].rotation == [1, 0, 0, 0, 1, 0, 0, 0, 1] and r[0].translation == [1, 2, 3]
+    assert (r[0].version, r[0].name_1, r[0].name_2, r[0].tm_score, r[0].aligned_reference, r[0].aligned_target) == ("20230607", "a.pdb", "b.pdb", 0.7312, "MK-W", "MRLW")
+    assert r[0].rotation == [0, -1, 0, 1, 0, 0, 0, 0, 1] and r[0].translation == [4.5, -0.5, 2.25]
     assert r[1][1:] == (None,) * 8
 
 
