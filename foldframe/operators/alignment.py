@@ -13,49 +13,61 @@ GAP_OPEN, GAP_EXTEND = -10.0, -0.5
 _LETTERS = "ARNDCQEGHILKMFPSTWYVBZX*"
 _MATRIX = np.array([[BLOSUM62[a, b] for b in _LETTERS] for a in _LETTERS], float)
 _INDEX = {c: i for i, c in enumerate(_LETTERS)}
+#: States of a cell: two letters, a gap in the target, a gap in the reference.
+_MATCH, _UP, _LEFT = range(3)
+_LOW = -1e30
 
 
 def gotoh(reference: str, target: str, gap_open: float = GAP_OPEN, gap_extend: float = GAP_EXTEND) -> tuple[str, str, float]:
     """Best global alignment and its score; end gaps cost as inner ones do, symbols outside the matrix count as X.
 
     Of equal paths the one that, read from the end, prefers a match, then a gap
-    in the target, then one in the reference. Work goes along anti-diagonals.
+    in the target, then one in the reference. Work goes along anti-diagonals, of
+    which three are held; a cell keeps one byte, the steps that led to it.
     """
     n, m = len(reference), len(target)
     a = np.array([_INDEX.get(c, _INDEX["X"]) for c in reference.upper()], int)
     b = np.array([_INDEX.get(c, _INDEX["X"]) for c in target.upper()], int)
-    low = -1e30
-    match, up, left = (np.full((n + 1, m + 1), low) for _ in range(3))
-    match[0, 0] = 0.0
-    up[1:, 0] = gap_open + gap_extend * np.arange(n)
-    left[0, 1:] = gap_open + gap_extend * np.arange(m)
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        match[i, j] = np.maximum(np.maximum(match[i - 1, j - 1], up[i - 1, j - 1]), left[i - 1, j - 1]) + _MATRIX[a[i - 1], b[j - 1]]
-        up[i, j] = np.maximum(np.maximum(match[i - 1, j], left[i - 1, j]) + gap_open, up[i - 1, j] + gap_extend)
-        left[i, j] = np.maximum(np.maximum(match[i, j - 1], up[i, j - 1]) + gap_open, left[i, j - 1] + gap_extend)
+    steps = np.zeros((n + 1, m + 1), np.uint8)
+    # Gaps at the beginning go on from themselves, but for the first.
+    steps[2:, 0] = _UP << 2
+    steps[0, 2:] = _LEFT << 4
+    cost = np.full((3, 3), gap_open)  # from a state (column) into a gap of a kind (row)
+    cost[_UP, _UP] = cost[_LEFT, _LEFT] = gap_extend
+    # Scores on a diagonal by state and place in the reference.
+    before, last = (np.full((3, n + 1), _LOW) for _ in range(2))
+    last[_MATCH, 0] = 0.0
+    for d in range(1, n + m + 1):
+        now = np.full((3, n + 1), _LOW)
+        if d <= n:
+            now[_UP, d] = gap_open + gap_extend * (d - 1)
+        if d <= m:
+            now[_LEFT, 0] = gap_open + gap_extend * (d - 1)
+        low, high = max(1, d - m), min(n, d - 1) + 1
+        if low < high:
+            i, found = np.arange(low, high), np.zeros(high - low, np.uint8)
+            for state, held, more in (
+                (_MATCH, before[:, low - 1 : high - 1], _MATRIX[a[i - 1], b[d - i - 1]]),
+                (_UP, last[:, low - 1 : high - 1] + cost[_UP, :, None], 0.0),
+                (_LEFT, last[:, low:high] + cost[_LEFT, :, None], 0.0),
+            ):
+                found |= (held.argmax(0) << 2 * state).astype(np.uint8)
+                now[state, low:high] = held.max(0) + more
+            steps[i, d - i] = found
+        before, last = last, now
     i, j = n, m
-    states = [match, up, left]
-    state = int(np.argmax([s[n, m] for s in states]))
-    score = float(states[state][n, m])
+    state = int(last[:, n].argmax())
+    score = float(last[state, n])
     out_a, out_b = [], []
     while i or j:
-        if state == 0:
-            i, j = i - 1, j - 1
-            out_a.append(reference[i])
-            out_b.append(target[j])
-            state = int(np.argmax([s[i, j] for s in states]))
-        elif state == 1:
+        came = int(steps[i, j]) >> 2 * state & 3
+        if state != _LEFT:
             i -= 1
-            out_a.append(reference[i])
-            out_b.append("-")
-            state = int(np.argmax([match[i, j] + gap_open, up[i, j] + gap_extend, left[i, j] + gap_open]))
-        else:
+        if state != _UP:
             j -= 1
-            out_a.append("-")
-            out_b.append(target[j])
-            state = int(np.argmax([match[i, j] + gap_open, up[i, j] + gap_open, left[i, j] + gap_extend]))
+        out_a.append("-" if state == _LEFT else reference[i])
+        out_b.append("-" if state == _UP else target[j])
+        state = came
     return "".join(out_a[::-1]), "".join(out_b[::-1]), score
 
 
