@@ -166,7 +166,7 @@ def links(fps: DataFrame) -> DataFrame:
     copied = anchors(fps)
     # Counted by partial sums and joined back, so that a crowded anchor's rows never stand in one task.
     crowds = copied.groupBy("half", "anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).filter("n > 1 and homes > 0")
-    met = copied.join(crowds.drop("homes"), ["half", "anchor"])
+    met = copied.join(crowds.drop("homes").hint("merge"), ["half", "anchor"])
     met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_home = F.transform(every, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("home")))
@@ -192,9 +192,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = stable(simhash(docs))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # Merged, not broadcast: the driver would hold each table that it sends, and these grow with the documents.
+    rooted = nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(rooted.join(ids.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_near_dedup(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import xxhash
 
-from foldframe.llm import simhash
+from foldframe.llm import components, simhash
 from foldframe.llm.simhash import fingerprint, near_duplicates, op3_simhash_near_dedup
 
 SF = "/root/testdata/sf0.01"
@@ -82,3 +82,23 @@ def test_edges(spark):
     assert near_duplicates(df.limit(0)).count() == 0
     long = "word " * 50_000 + "end"
     assert fingerprint(long) == plain_fingerprint(long)
+
+
+def test_components_without_broadcasts_and_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ends = [(int(a) - 500, int(b) - 500) for a, b in rng.integers(0, 1200, (700, 2))] + [(i, i + 1) for i in range(2000, 2300)] + [(9, 9), (None, 4)]
+    edges, least = spark.createDataFrame(ends, "src bigint, dst bigint"), {}
+    for _ in range(400):
+        for a, b in ends:
+            if None not in (a, b) and a != b:
+                least[a] = least[b] = min(least.get(a, a), least.get(b, b))
+    for most in (components.ONE_TASK, 0):
+        monkeypatch.setattr(components, "ONE_TASK", most)
+        before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+        assert {r.node: r.root for r in components.connected_components(edges).collect()} == least
+        jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before
+        assert jobs <= 12 or not most
+    docs = spark.createDataFrame([(i, f"some words of {i % 40}") for i in range(100)], "doc_id bigint, text string")
+    found = near_duplicates(docs)
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
