@@ -15,6 +15,7 @@ from foldframe.operators import charts, correspondence, distances, evidence, int
 from foldframe.operators.alignment import align_pairs
 from foldframe.plans import derived
 from foldframe.plans.engine import Analysis
+from foldframe.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -477,6 +478,12 @@ def _mapping(a: Analysis) -> DataFrame:
     return rows.select("pair_id", "reference_id", "target_id", F.col("reference_label").alias("position"), "reference_key", "target_key")
 
 
+def _kept_mapping(a: Analysis) -> DataFrame:
+    """The mapping alone is written, once; atoms follow from their residues without a shuffle and would be the largest table."""
+    shared_dir(a.alignments.sparkSession)
+    return _mapping(a).checkpoint()
+
+
 _DIFF = f"""{_CONTACTS}
 , dm AS MATERIALIZED (SELECT pair_id, reference_id, target_id, 'A:' || rnum AS position, reference_key, target_key FROM cor WHERE mapped),
 dr AS (SELECT p.pair_id, c.type, a.position AS pa, b.position AS pb, c.external_id, c.distance, c.residue_a, c.residue_b, c.atom_a, c.atom_b FROM prs p JOIN contacts c ON c.structure_id = p.reference_id
@@ -493,8 +500,8 @@ diff AS (SELECT pair_id, type, pos_a, pos_b, nullif(e, '') AS external_id, CASE
 
 @query(f"{_DIFF} SELECT pair_id, type, pos_a, pos_b, external_id, change, {_q('reference_distance', 'target_distance')} FROM diff")
 def interaction_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _analysis(spark, sf_dir).kept()
-    return _rounded(interactions.compare(interactions.detect(a.atoms), _mapping(a)))
+    a = _analysis(spark, sf_dir)
+    return _rounded(interactions.compare(interactions.detect(a.atoms), _kept_mapping(a)))
 
 
 # ---- Sites ---------------------------------------------------------------------------------------
@@ -572,8 +579,8 @@ td AS (SELECT DISTINCT site_id, d.pair_id, type, pos_a, pos_b, external_id, chan
 SELECT site_id, pair_id, type, count(*) FILTER (change IN ('conserved', 'lost')) AS reference_count, count(*) FILTER (change IN ('conserved', 'gained')) AS target_count, count(*) FILTER (change = 'conserved') AS conserved_count,
   count(*) FILTER (change = 'gained') AS gained_count, count(*) FILTER (change = 'lost') AS lost_count FROM td GROUP BY ALL""")
 def interaction_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _analysis(spark, sf_dir).kept()
-    mapping = _mapping(a)
+    a = _analysis(spark, sf_dir)
+    mapping = _kept_mapping(a)
     members = _around(spark, sf_dir, "radius").select("site_id", F.col("residue_key").alias("reference_key")).join(mapping.select("pair_id", "reference_key", "position"), "reference_key")
     return interactions.fingerprint(interactions.compare(interactions.detect(a.atoms), mapping), members.select("site_id", "pair_id", "position"))
 

@@ -213,3 +213,30 @@ def test_strict_validation_and_missing_chain(spark):
     assert structures.select_chain(chains.filter("structure_id = 's'"), "A").count() == 1
     made = spark.createDataFrame([("p", "b", "x", "y", None), ("p", "a", None, None, "z"), ("p", "a", "q", None, None), ("p", "a", "q", "r", None)], "pair_id string, type string, pos_a string, pos_b string, external_id string")
     assert [(r.type, r.pos_a, r.pos_b) for r in interactions.ordered(made).collect()] == [("a", "q", "r"), ("a", "q", None), ("a", None, None), ("b", "x", "y")]
+
+
+def test_contacts_are_formed_after_one_shuffle_by_structure(spark):
+    from foldframe.operators import interactions
+    from foldframe.plans import derived
+    from tests.conftest import SF
+
+    atoms = derived.atoms(spark, SF).filter("structure_id in ('v0', 'v1', 'v7')")
+    found = interactions.heavy_contacts(atoms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(structure_id") == 1 and "SortMergeJoin" not in plan
+    plain = {}
+    rows = interactions._described(atoms).collect()
+    greasy = {(r.structure_id, r.residue_key) for r in rows if r.side}
+    for a in rows:
+        for b in rows:
+            if a.structure_id != b.structure_id or a.residue_ord >= b.residue_ord:
+                continue
+            d = ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) ** 0.5
+            both = {(a.structure_id, r.residue_key) for r in (a, b)} <= greasy
+            bond = d <= 3.5 and (a.donor and b.acceptor or b.donor and a.acceptor)
+            kind = "hbond_geometric" if bond else "hydrophobic" if d <= 4.5 and both else None
+            if kind or d <= 4.0 and (a.cationic and b.acidic or a.acidic and b.cationic):
+                rank = (0, 0, a.atom_ord, b.atom_ord) if kind else (1, d, a.atom_ord, b.atom_ord)
+                key, new = (a.structure_id, a.residue_key, b.residue_key), (rank, kind or "salt_bridge", a.name, b.name)
+                plain[key] = min(plain.get(key, new), new)
+    assert {(r.structure_id, r.residue_a, r.residue_b): (r.type, r.atom_a, r.atom_b) for r in found.collect()} == {k: v[1:] for k, v in plain.items()}
