@@ -85,7 +85,7 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return study_sheets(registry._analysis(spark, sf_dir).kept(), _msa_cells(spark, sf_dir), _msa_labels(spark, sf_dir), _around(spark, sf_dir, "radius"), _cards(spark, sf_dir), [f"{sf_dir.rpartition('/')[2]}/embeddings"])
+    return study_sheets(registry._analysis(spark, sf_dir).kept(atoms=False), _msa_cells(spark, sf_dir), _msa_labels(spark, sf_dir), _around(spark, sf_dir, "radius"), _cards(spark, sf_dir), [f"{sf_dir.rpartition('/')[2]}/embeddings"])
 
 
 _FIGURES = [("Sequence identity", "identity", "fraction"), ("Sequence coverage", "coverage", "fraction"), ("Strict Cα RMSD", "strict_rmsd", "Å"), ("Refined Cα RMSD", "CAST(NULL AS DOUBLE)", "Å"), ("Mapped residues", "CAST(mapped_count AS DOUBLE)", "residues"), ("Mutation count", "CAST(mutation_count AS DOUBLE)", "events")]
