@@ -111,6 +111,18 @@ def test_workbook_csv_and_bundle(spark, tmp_path):
             sinks.validate_bundle(str(tmp_path / "bad.zip"))
 
 
+def test_long_tables_reach_workbook_and_bundle_whole(spark, tmp_path, monkeypatch):
+    df = spark.range(100_001).select("id")
+    sinks.write_bundle({"residues": df}, str(tmp_path / "b.zip"), "r", "many", ["t"])
+    with zipfile.ZipFile(tmp_path / "b.zip") as z:
+        assert [r["id"] for r in json.loads(z.read("residues.json"))] == list(range(100_001))
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 60_000, raising=False)
+    sinks.write_workbook({"One": df}, str(tmp_path / "w.xlsx"))
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        assert 'name="One (2)"' in z.read("xl/workbook.xml").decode()
+        assert [z.read(f"xl/worksheets/sheet{i}.xml").count(b"<row>") for i in (1, 2)] == [60_001, 40_002]
+
+
 def test_stream_of_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
