@@ -290,7 +290,7 @@ ava AS (SELECT group_id, reference_id, target_id, coalesce(sm / nullif(al, 0), 0
 
 @query(f"{_ALL} SELECT group_id, metric, left_id, right_id, {_q('value')}, 'fraction' AS unit FROM (UNPIVOT (SELECT group_id, least(reference_id, target_id) AS left_id, greatest(reference_id, target_id) AS right_id, identity, similarity, coverage FROM ava) ON identity, similarity, coverage INTO NAME metric VALUE value)")
 def all_vs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(multi.matrices(_group_summary(spark, sf_dir)))
+    return multi.row_matrices(_structures(spark, sf_dir), derived.rows_of_structures(spark, sf_dir), places=PLACES)
 
 
 @query(f"""{_ALL}, ids AS (SELECT DISTINCT label AS group_id, structure_id FROM pos)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foldframe.functions import lookups as L
 from foldframe.operators import alignment, correspondence, msa, multi, mutations, sites, spatial, superposition
 from foldframe.plans.engine import Analysis
+from foldframe.plans.registry import QUERIES
 
 
 def test_lookups():
@@ -240,3 +241,54 @@ def test_contacts_are_formed_after_one_shuffle_by_structure(spark):
                 key, new = (a.structure_id, a.residue_key, b.residue_key), (rank, kind or "salt_bridge", a.name, b.name)
                 plain[key] = min(plain.get(key, new), new)
     assert {(r.structure_id, r.residue_a, r.residue_b): (r.type, r.atom_a, r.atom_b) for r in found.collect()} == {k: v[1:] for k, v in plain.items()}
+
+
+#: group, structure, ord, row: odd letters, equal ords (e, f), a structure without a row (h), a group of one (z).
+ALIGNED = [
+    (1, "b", 5, "ACD-FGXX"), (1, "a", 9, "ACDEFGHI"), (1, "c", 1, "acdw.ghi"), (1, "d", 2, "--------"), (1, "e", 3, "BZJX*WWY"), (1, "f", 3, "VLIMSTKR"), (1, "g", 4, "IVLMTSRK"), (1, "h", 6, None),
+    (2, "z", 1, "AC"), (3, "b2", 2, "WY"), (3, "a2", 1, "FF"),
+]
+
+
+def _aligned(spark):
+    return spark.createDataFrame([r[:3] for r in ALIGNED], "group_id int, structure_id string, ord int"), spark.createDataFrame([(s, r) for _, s, _, r in ALIGNED if r], "structure_id string, row string")
+
+
+def _plain_matrices():
+    out = {}
+    for (g, r, i, a), (h, t, j, b) in itertools.permutations(ALIGNED, 2):
+        if g == h and i < j and a and b:
+            a, b = (x.upper().replace(".", "-") for x in (a, b))
+            both = [(x, y) for x, y in zip(a, b, strict=True) if x in L.CANONICAL and y in L.CANONICAL]
+            part = {"identity": sum(x == y for x, y in both), "similarity": sum(L.BLOSUM62[x, y] > 0 for x, y in both), "coverage": len(both)}
+            whole = {"identity": len(both), "similarity": len(both), "coverage": sum(x in L.CANONICAL for x in a)}
+            out |= {(g, m, *sorted((r, t))): part[m] / whole[m] if whole[m] else 0.0 for m in part}
+    return out
+
+
+@pytest.mark.parametrize("wide", [2, 1024])
+def test_matrices_by_blocks(spark, monkeypatch, wide):
+    monkeypatch.setattr(multi, "WIDE", wide)
+    want = _plain_matrices()
+    got = multi.row_matrices(*_aligned(spark)).collect()
+    assert {(r.group_id, r.metric, r.left_id, r.right_id): r.value for r in got} == want and len(got) == len(want) == 63
+    assert {r.unit for r in got} == {"fraction"}
+    third = multi.row_matrices(*_aligned(spark), ["identity", "coverage"], 1).collect()
+    assert {(r.metric, r.left_id, r.right_id): r.value for r in third} == {(m, a, b): math.floor(v * 10 + 0.5) / 10 for (_, m, a, b), v in want.items() if m != "similarity"}
+
+
+def _shuffled(spark, df):
+    """Rows of the result, and rows that its stages write to shuffles."""
+    context = spark.sparkContext
+    written = lambda: sum(s.shuffleWriteRecords() for s in context._jvm.scala.jdk.javaapi.CollectionConverters.asJava(context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)))
+    before = written()
+    rows = len(df.collect())
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    return rows, written() - before
+
+
+def test_no_pair_of_all_vs_all_is_shuffled(spark):
+    from tests.conftest import SF
+
+    rows, shuffled = _shuffled(spark, QUERIES["all_vs_all"](spark, SF))
+    assert rows == 37032 and shuffled < rows / 6
