@@ -271,14 +271,6 @@ def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.col("label").alias("group_id"), F.concat(F.lit("v"), F.col("vec_id")).alias("structure_id"), F.col("vec_id").alias("ord"))
 
 
-def _group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.rows_of_structures(spark, sf_dir)
-    pairs = multi.unordered_pairs(_structures(spark, sf_dir))
-    both = pairs.join(rows.withColumnsRenamed({"structure_id": "reference_id", "row": "aligned_reference"}), "reference_id").join(rows.withColumnsRenamed({"structure_id": "target_id", "row": "aligned_target"}), "target_id")
-    exploded = correspondence.explode_alignments(both)
-    return correspondence.sequence_metrics(exploded).join(pairs.select("pair_id", "group_id"), "pair_id")
-
-
 _ALL = f"""
 , ava0 AS (SELECT a.label AS group_id, a.structure_id AS reference_id, b.structure_id AS target_id, CASE WHEN a.left_out THEN NULL ELSE coalesce(a.letter, 'X') END AS p, CASE WHEN b.left_out THEN NULL ELSE coalesce(b.letter, 'X') END AS q
   FROM pos a JOIN pos b ON a.label = b.label AND a.i = b.i AND a.vec_id < b.vec_id),
@@ -297,7 +289,7 @@ def all_vs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.group_id, 'identity' AS metric, a.structure_id AS row_id, b.structure_id AS column_id, {_q('identity AS value')}, CASE WHEN identity IS NULL THEN '—' ELSE format('{{:.3f}}', identity) END AS text, CASE WHEN a.structure_id = b.structure_id THEN 'diagonal' ELSE 'value' END AS cell_status
 FROM ids a JOIN ids b USING (group_id) LEFT JOIN ava v ON v.group_id = a.group_id AND least(a.structure_id, b.structure_id) = least(v.reference_id, v.target_id) AND greatest(a.structure_id, b.structure_id) = greatest(v.reference_id, v.target_id)""")
 def pairwise_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(multi.heatmap(multi.matrices(_group_summary(spark, sf_dir), ["identity"]), _structures(spark, sf_dir)))
+    return multi.row_heatmap(_structures(spark, sf_dir), derived.rows_of_structures(spark, sf_dir), ["identity"], PLACES)
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,3 +292,23 @@ def test_no_pair_of_all_vs_all_is_shuffled(spark):
 
     rows, shuffled = _shuffled(spark, QUERIES["all_vs_all"](spark, SF))
     assert rows == 37032 and shuffled < rows / 6
+
+
+@pytest.mark.parametrize("wide", [2, 1024])
+def test_heatmap_by_blocks(spark, monkeypatch, wide):
+    monkeypatch.setattr(multi, "WIDE", wide)
+    values = {k[:1] + k[2:]: v for k, v in _plain_matrices().items() if k[1] == "identity"}
+    got = multi.row_heatmap(*_aligned(spark), ["identity"], 4).collect()
+    want = set()
+    for (g, a, *_), (h, b, *_) in itertools.product(ALIGNED, repeat=2):
+        v = values.get((g, *sorted((a, b))))
+        if g == h:
+            want.add((g, "identity", a, b, None if v is None else math.floor(v * 1e4 + 0.5) / 1e4, "—" if v is None else f"{v:.3f}", "diagonal" if a == b else "value"))
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 64 + 1 + 4
+
+
+def test_no_cell_of_a_heatmap_is_shuffled(spark):
+    from tests.conftest import SF
+
+    rows, shuffled = _shuffled(spark, QUERIES["pairwise_heatmap"](spark, SF))
+    assert rows == 25188 and shuffled < rows / 4
